@@ -11,7 +11,7 @@ documents: each epoch picks a document's window by the network so far.
 from __future__ import annotations
 
 import pickle
-import zlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,14 +37,29 @@ CACHE_TOKENS = 200_000
 CHUNK = 4096
 
 
-def clean(token: str) -> str:
-    """Lower case without punctuation; a token of punctuation alone is one empty word."""
-    return "".join(c for c in token.lower() if c.isalnum())
+_OUTSIDE = re.compile(r"[\W_]+")
 
 
-def grams(word: str) -> list[int]:
-    marked = f"^{word}$"
-    return [zlib.crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) % GRAMS for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
+def clean(token: str) -> str:
+    """Lower case without punctuation; a token of punctuation alone is one empty word."""
+    return _OUTSIDE.sub("", token.lower())
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed runs of 3, 4 and 5 characters of the words, begun and ended by marks: those of one word after another, and how many each has."""
+    points = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    lens = np.fromiter((len(w) + 2 for w in words), dtype=np.int64, count=len(words))
+    left = np.repeat(np.cumsum(lens), lens) - np.arange(len(points))  # characters from here to the word's end
+    hashed = np.zeros((len(points), 3), dtype=np.int64)
+    h = np.zeros(len(points), dtype=np.uint64)
+    for n in range(5):
+        h = (h + np.append(points[n:], np.zeros(min(n, len(points)), dtype=np.uint64)) + np.uint64(n + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        if n >= 2:
+            hashed[:, n - 2] = (h >> np.uint64(40)) % np.uint64(GRAMS)
+    has = left[:, None] >= np.array([3, 4, 5])
+    first = np.cumsum(lens) - lens
+    counts = np.add.reduceat(has.sum(1), first) if len(words) else lens
+    return hashed[has], counts
 
 
 def starts_of(n: int) -> range:
@@ -52,6 +67,11 @@ def starts_of(n: int) -> range:
     return range(0, max(1, n - WINDOW + STRIDE), STRIDE)
 
 
+def softsign(x: np.ndarray) -> np.ndarray:
+    """The network's squashing function: of candidates, and halved and raised by a half of gates. It needs no exponential."""
+    return x / (1 + np.abs(x))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -64,13 +84,10 @@ class Network:
     odds: np.ndarray
     p: dict[str, np.ndarray]
 
-    def inputs(self, words: list[str]) -> np.ndarray:
-        """Input vectors of distinct words."""
-        lists = [grams(w) for w in words]
+    def inputs(self, words: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Input vectors of distinct words by their rows of E and their n-grams."""
         out = np.zeros((len(words), WORD_DIM + CHAR_DIM), dtype=np.float32)
-        out[:, :WORD_DIM] = self.p["E"][[self.words.get(w, 0) for w in words]]
-        flat = np.fromiter((g for x in lists for g in x), dtype=np.int64)
-        lens = np.array([len(x) for x in lists])
+        out[:, :WORD_DIM] = self.p["E"][words]
         some = np.flatnonzero(lens)
         if len(some):
             at = (np.cumsum(lens) - lens)[some]
@@ -90,9 +107,9 @@ class Network:
             for t in range(x.shape[1]):
                 a = pre[:, t]
                 u = h @ self.p["U" + d]
-                zr = sigmoid(a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-                z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-                n = np.tanh(a[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
+                s = softsign(a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
+                z, r = 0.5 + 0.5 * s[:, :HIDDEN], 0.5 + 0.5 * s[:, HIDDEN:]
+                n = softsign(a[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
                 m = md[:, t, None]
                 steps.append((h, u[:, 2 * HIDDEN :], z, r, n, m))
                 h = h + m * (1 - z) * (n - h)
@@ -126,9 +143,10 @@ class Network:
             for t in range(T - 1, -1, -1):
                 h, un, z, r, n, m = k[d][t]
                 dh = dh + part[:, t]
-                dn = dh * m * (1 - z) * (1 - n * n)
-                dz = dh * m * (h - n) * z * (1 - z)
-                dr = dn * un * r * (1 - r)
+                # the derivative of softsign at x is (1 - |softsign(x)|) squared
+                dn = dh * m * (1 - z) * (1 - np.abs(n)) ** 2
+                dz = dh * m * (h - n) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
+                dr = dn * un * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
                 du = np.concatenate([dz, dr, dn * r], axis=1)
                 dpre[:, t] = np.concatenate([dz, dr, dn], axis=1)
                 gU += h.T @ du
@@ -155,14 +173,20 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Network | None:
     n1, n0 = int(y.sum()), int((1 - y).sum())
     df: dict[int, Counter] = {0: Counter(), 1: Counter()}
     gf: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    of: dict[str, list[int]] = {}
-    for words, label in zip(docs, labels, strict=True):
-        distinct = set(words)
-        for w in distinct:
-            if w not in of:
-                of[w] = grams(w)
-        df[label].update(distinct)
-        gf[label].update({g for w in distinct for g in of[w]})
+    every = sorted({w for words in docs for w in words})
+    place = {w: i for i, w in enumerate(every)}
+    flat, lens = grams(every)
+    begin = np.cumsum(lens) - lens
+
+    def ranges(rows: np.ndarray) -> np.ndarray:
+        """The n-grams of words, one word after another."""
+        n = lens[rows]
+        return flat[np.repeat(begin[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    tokens = [np.array([place[w] for w in words], dtype=np.int64) for words in docs]
+    for ids, words, label in zip(tokens, docs, labels, strict=True):
+        df[label].update(set(words))
+        gf[label].update(np.unique(ranges(np.unique(ids))).tolist())
     odds = _log_odds(df[1], df[0], n1, n0)
     gram_odds = np.zeros(GRAMS, dtype=np.float32)
     for k, v in _log_odds(gf[1], gf[0], n1, n0, 3).items():
@@ -180,11 +204,7 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Network | None:
         p |= {"W" + d: normal(WORD_DIM + CHAR_DIM, 3 * HIDDEN, scale=0.25), "U" + d: normal(HIDDEN, 3 * HIDDEN, scale=0.25), "b" + d: np.zeros(3 * HIDDEN, dtype=np.float32)}
     net = Network(vocabulary, gram_odds, p)
 
-    every = sorted(of)
-    place = {w: i for i, w in enumerate(every)}
-    lists = [of[w] for w in every]
-    word_ids = np.array([vocabulary.get(w, 0) for w in every])
-    tokens = [np.array([place[w] for w in words], dtype=np.int64) for words in docs]
+    word_ids = np.array([vocabulary.get(w, 0) for w in every], dtype=np.int64)
     m = {k: np.zeros_like(v) for k, v in p.items()}
     s = {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
@@ -200,8 +220,8 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Network | None:
     window_ids, window_doc = np.array(window_ids), np.array(window_doc)
     first = np.flatnonzero(np.concatenate([[True], np.diff(window_doc) > 0]))
     counts = np.diff(np.append(first, len(window_doc)))
-    first_odds = np.append(np.array([max(odds.get(w, 0.0), float(gram_odds[of[w]].max()) if of[w] else 0.0) for w in every], dtype=np.float32), -9)
-    guess = first_odds[window_ids].max(1)
+    first_odds = np.maximum(net.inputs(word_ids, flat, lens)[:, -1], np.array([odds.get(w, 0.0) for w in every], dtype=np.float32))
+    guess = np.append(first_odds, -9)[window_ids].max(1)
     for epoch in range(EPOCHS):
         if epoch:
             fast = Scorer(net)
@@ -220,7 +240,7 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Network | None:
             ids = window_ids[rows]
             mask = (ids < len(every)).astype(np.float32)
             used, inverse = np.unique(np.minimum(ids, len(every) - 1), return_inverse=True)
-            vectors = net.inputs([every[i] for i in used])
+            vectors = net.inputs(word_ids[used], ranges(used), lens[used])
             k = net.run(vectors[inverse.reshape(ids.shape)] * mask[:, :, None], mask)
             label = y[window_doc[rows]]
             g, dx = net.back(k, (sigmoid(k["logit"]) - label).astype(np.float32) / len(rows))
@@ -229,10 +249,8 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Network | None:
             g["E"] = np.zeros_like(p["E"])
             np.add.at(g["E"], word_ids[used], dv[:, :WORD_DIM])
             g["E"][0] = 0
-            lens = np.array([len(lists[i]) for i in used])
-            flat = np.fromiter((x for i in used for x in lists[i]), dtype=np.int64)
             g["G"] = np.zeros_like(p["G"])
-            np.add.at(g["G"], flat, np.repeat(dv[:, WORD_DIM:-1] / np.maximum(lens, 1)[:, None], lens, axis=0))
+            np.add.at(g["G"], ranges(used), np.repeat(dv[:, WORD_DIM:-1] / np.maximum(lens[used], 1)[:, None], lens[used], axis=0))
             step += 1
             for name, grad in g.items():
                 m[name] = 0.9 * m[name] + 0.1 * grad
@@ -242,73 +260,80 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Network | None:
 
 
 class Scorer:
-    """Windows' logits with each token's input products looked up; row 0 of the products is padding."""
+    """Windows' logits with each token's input products looked up; row 0 of the products is padding.
+
+    Products, weights and states of the two gates and of the candidate are kept apart, so that
+    every step works on contiguous arrays; attention needs two sums of each state only.
+    """
 
     def __init__(self, net: Network, most: int = CACHE_TOKENS):
         self.net, self.most = net, most
+        self.weights = {d: [np.ascontiguousarray(u) for u in np.split(net.p["U" + d], 3, axis=1)] for d in "fb"}
+        for w in self.weights.values():
+            w[2] *= 0.5  # a reset gate is half of 1 + softsign
+        self.out = np.stack([net.p["v"], net.p["w"]], axis=1).reshape(2, HIDDEN, 2)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.products = np.zeros((1, 6 * HIDDEN), dtype=np.float32)
+        self.products = np.zeros((6, 1, HIDDEN), dtype=np.float32)
         self.filled = 1
 
     def add(self, tokens: list[str]) -> None:
         p = self.net.p
         for at in range(0, len(tokens), CHUNK):
             some = tokens[at : at + CHUNK]
-            x = self.net.inputs([clean(t) for t in some])
-            rows = np.concatenate([x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]], axis=1)
-            if self.filled + len(rows) > len(self.products):
-                self.products = np.concatenate([self.products, np.zeros((max(len(rows), len(self.products)), 6 * HIDDEN), dtype=np.float32)])
-            self.products[self.filled : self.filled + len(rows)] = rows
-            for t in some:
-                self.known[t] = self.filled
-                self.filled += 1
+            words = [clean(t) for t in some]
+            x = self.net.inputs(np.array([self.net.words.get(w, 0) for w in words], dtype=np.int64), *grams(words))
+            rows = np.concatenate([x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]], axis=1).reshape(len(some), 6, HIDDEN).transpose(1, 0, 2)
+            if self.filled + len(some) > self.products.shape[1]:
+                more = np.zeros((6, max(len(some), self.products.shape[1]), HIDDEN), dtype=np.float32)
+                self.products = np.concatenate([self.products, more], axis=1)
+            self.products[:, self.filled : self.filled + len(some)] = rows
+            self.known.update(zip(some, range(self.filled, self.filled + len(some)), strict=True))
+            self.filled += len(some)
 
     def logits(self, ids: np.ndarray) -> np.ndarray:
         """For windows of rows of the products (0 behind a window's last token)."""
         return np.concatenate([self._logits(ids[a:b]) for a, b in slices(len(ids), CHUNK)]) if len(ids) else np.zeros(0, dtype=np.float32)
 
     def _logits(self, ids: np.ndarray) -> np.ndarray:
-        p, n, T, H = self.net.p, len(ids), ids.shape[1], HIDDEN
-        states = np.empty((T, 2, n, H), dtype=np.float32)
-        lens = (ids > 0).sum(1)
-        cut = int(lens.min(initial=T))
+        n, T = ids.shape
+        columns = np.ascontiguousarray(ids.T)
+        live = columns > 0
+        cut = int(live.sum(0).min(initial=T))
+        sums = np.zeros((T, n, 2), dtype=np.float32)
         for k, d in enumerate("fb"):
-            U = p["U" + d]
-            part = self.products[:, k * 3 * H : (k + 1) * 3 * H]
-            h = np.zeros((n, H), dtype=np.float32)
+            Uz, Ur, Un = self.weights[d]
+            Pz, Pr, Pn = self.products[3 * k : 3 * k + 3]
+            h = np.zeros((n, HIDDEN), dtype=np.float32)
+            t_, u_ = np.empty_like(h), np.empty_like(h)
             for t in range(T) if d == "f" else range(T - 1, -1, -1):
-                a = part[ids[:, t]]
-                u = h @ U
-                zr = a[:, : 2 * H] + u[:, : 2 * H]
-                np.negative(zr, out=zr)
-                np.minimum(zr, 40, out=zr)
-                np.exp(zr, out=zr)
-                zr += 1
-                np.reciprocal(zr, out=zr)
-                c = u[:, 2 * H :]
-                c *= zr[:, H:]
-                c += a[:, 2 * H :]
-                np.tanh(c, out=c)
-                c -= h
-                z = zr[:, :H]
+                at = columns[t]
+                r = Pr.take(at, axis=0)
+                r += np.matmul(h, Ur, out=u_)
+                r /= np.add(np.abs(r, out=t_), 1, out=t_)
+                r += 1
+                r *= np.matmul(h, Un, out=u_)
+                r += Pn.take(at, axis=0)
+                r /= np.add(np.abs(r, out=t_), 1, out=t_)  # the candidate
+                r -= h
+                z = Pz.take(at, axis=0)
+                z += np.matmul(h, Uz, out=u_)
+                z /= np.add(np.abs(z, out=t_), 1, out=t_)
                 np.subtract(1, z, out=z)
-                c *= z
+                z *= 0.5
                 if t >= cut:
-                    c *= (ids[:, t] > 0)[:, None]
-                h = h + c
-                states[t, k] = h
-        H2 = states.transpose(0, 2, 1, 3).reshape(T, n, 2 * H)
-        s = H2 @ p["v"]
-        live = (ids > 0).T
+                    z *= live[t][:, None]
+                r *= z
+                h += r
+                sums[t] += h @ self.out[k]
+        s = sums[:, :, 0]
         s[~live] = -1e9
-        s -= s.max(0)
-        np.exp(s, out=s)
+        s = np.exp(s - s.max(0))
         s *= live
         s /= np.maximum(s.sum(0), 1e-9)
-        return np.einsum("tn,tn->n", s, H2 @ p["w"]) + p["c"][0]
+        return np.einsum("tn,tn->n", s, sums[:, :, 1]) + self.net.p["c"][0]
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Probabilities of whole texts; one without tokens scores as an empty window."""

@@ -17,7 +17,7 @@ from pyspark.sql.functions import arrow_udf
 from .common import is_held_out, slices, table
 
 #: Expected number of documents of each language that the model is fitted on, those with the lowest hashes.
-FIT_DOCS = 1500
+FIT_DOCS = 1000
 LONGEST = 4
 #: Log penalty of each step to a shorter n-gram.
 BACK_OFF = float(np.log(0.4))
