@@ -34,6 +34,8 @@ RETRIEVE, VERIFY = 0.5, 0.8
 ANSWER = 0.5
 SHINGLE = 5
 BLOCK = 8
+#: Postings, and bounds of blocks, in hand at once.
+POSTINGS = 1 << 21
 #: Characters of test items in one index.
 INDEX_CHARS = 16 << 20
 
@@ -47,11 +49,16 @@ def words_of(text: str) -> list[str]:
 
 @dataclass
 class Index:
-    """Impacts of terms by segment, and their maxima by block of segments; what verification needs of the items."""
+    """Postings of terms: those of term t lie from ptr[t] to ptr[t + 1], each a block of segments with the
+    impacts of its segments and the largest of them. The last term has none: it stands for all other words.
+    ``items`` has what verification needs."""
 
     terms: dict[str, int]
+    ptr: np.ndarray
+    block: np.ndarray
     impacts: np.ndarray
     bounds: np.ndarray
+    blocks: int
     item: np.ndarray
     items: list[tuple[int, set, Counter, int]]
 
@@ -81,19 +88,58 @@ def build(items: list[tuple[int, str]]) -> Index:
     n = len(segments)
     df = Counter(t for s in segments for t in s)
     mean = sum(map(Counter.total, segments)) / max(n, 1)
-    width = -(-n // BLOCK) * BLOCK
-    impacts = np.zeros((len(terms) + 1, width), dtype=np.float32)
+    cells: list[tuple[int, int, float]] = []
     for k, s in enumerate(segments):
         size = s.total()
         own = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * size / mean)) for t, c in s.items()}
         whole = sum(own.values())
-        for t, v in own.items():
-            impacts[terms[t], k] = v / whole
+        cells += [(terms[t], k, v / whole) for t, v in own.items()]
+    term = np.array([x[0] for x in cells], dtype=np.int64)
+    segment = np.array([x[1] for x in cells], dtype=np.int64)
+    blocks = -(-n // BLOCK)
+    key, at = np.unique(term * max(blocks, 1) + segment // BLOCK, return_inverse=True)
+    impacts = np.zeros((len(key), BLOCK), dtype=np.float32)
+    impacts[at, segment % BLOCK] = [x[2] for x in cells]
+    ptr = np.searchsorted(key, np.arange(len(terms) + 2) * max(blocks, 1))
     facts = []
     for i, words in kept:
         _, answer = question_and_answer(words)
         facts.append((i, shingles(words), Counter(answer), len(words)))
-    return Index(terms, impacts, impacts.reshape(len(terms) + 1, -1, BLOCK).max(2), np.array(owner, dtype=np.int64), facts)
+    return Index(terms, ptr, key % max(blocks, 1), impacts, impacts.max(1, initial=0), blocks, np.array(owner, dtype=np.int64), facts)
+
+
+def retrieved(index: Index, passage: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(passage, segment, score) of all that reach ``RETRIEVE``; the distinct (passage, term) are sorted.
+
+    Bounds of all blocks come first; where they stay below the threshold no segment is scored.
+    """
+    lens = index.ptr[term + 1] - index.ptr[term]
+    ends = np.cumsum(lens)
+    starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+    at = 0
+    while at < len(starts):
+        # as many whole passages as keep the postings and the bounds in hand few; one at least
+        a = starts[at]
+        before = ends[a] - lens[a]
+        most = np.searchsorted(ends[np.append(starts[at + 1 :], len(passage)) - 1], before + POSTINGS, side="right")
+        upto = at + max(1, min(int(most), POSTINGS // max(index.blocks, 1)))
+        b = starts[upto] if upto < len(starts) else len(passage)
+        n = lens[a:b]
+        posting = np.repeat(index.ptr[term[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        local = np.repeat(np.cumsum(np.isin(np.arange(a, b), starts[at:upto], assume_unique=True)) - 1, n)
+        key = local * index.blocks + index.block[posting]
+        bound = np.bincount(key, weights=index.bounds[posting], minlength=(upto - at) * index.blocks)
+        reach = np.flatnonzero(bound >= RETRIEVE - 1e-5)
+        if len(reach):
+            row = np.full(len(bound), -1)
+            row[reach] = np.arange(len(reach))
+            some = np.flatnonzero(row[key] >= 0)
+            scores = np.zeros((len(reach), BLOCK))
+            np.add.at(scores, row[key[some]], index.impacts[posting[some]])
+            for r, s in np.argwhere(scores >= RETRIEVE - 1e-5).tolist():
+                k = int(reach[r])
+                yield int(passage[starts[at + k // index.blocks]]), k % index.blocks * BLOCK + s, float(scores[r, s])
+        at = upto
 
 
 def matches(index: Index, texts: list[str]) -> list[list[tuple[int, float, float, float, int]]]:
@@ -112,7 +158,6 @@ def matches(index: Index, texts: list[str]) -> list[list[tuple[int, float, float
     counts = np.maximum(1, -(-lens // SEGMENT) - 1) * (lens > 0)
     base = np.cumsum(counts) - counts
     block = np.minimum(at // SEGMENT, np.repeat(np.maximum(counts, 1), lens))
-    owner = np.repeat(np.arange(len(texts)), lens)
     b = np.repeat(base, lens)
     last = np.repeat(counts, lens) - 1
     known = flat < none
@@ -124,20 +169,11 @@ def matches(index: Index, texts: list[str]) -> list[list[tuple[int, float, float
         return out
     key = np.unique(passage * none + term)
     passage, term = key // none, key % none
-    start = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-    ends = np.append(start[1:], len(passage))
     doc_of = np.repeat(np.arange(len(texts)), counts)
-    del owner
-    # bounds of all blocks first; a passage whose blocks stay below the threshold is left
-    bound = np.add.reduceat(index.bounds[term], start, axis=0)
-    rows, blocks = np.nonzero(bound >= RETRIEVE - 1e-5)
     found: dict[tuple[int, int], list] = {}
-    for r, k in zip(rows.tolist(), blocks.tolist(), strict=True):
-        score = index.impacts[term[start[r] : ends[r]], k * BLOCK : (k + 1) * BLOCK].sum(0)
-        for s in np.flatnonzero(score >= RETRIEVE - 1e-5).tolist():
-            p = int(passage[start[r]])
-            doc = int(doc_of[p])
-            found.setdefault((doc, int(index.item[k * BLOCK + s])), []).append((int(p - base[doc]) * SEGMENT, float(score[s])))
+    for p, segment, score in retrieved(index, passage, term):
+        doc = int(doc_of[p])
+        found.setdefault((doc, int(index.item[segment])), []).append((int(p - base[doc]) * SEGMENT, score))
     for (doc, item), hits in sorted(found.items()):
         out_row = verify(index.items[item], words[doc], hits)
         if out_row:
