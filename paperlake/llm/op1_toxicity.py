@@ -32,6 +32,8 @@ FIT_CHARS = 100_000
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 WORDS, GRAMS = 20_000, 1 << 14
 EPOCHS, BATCH, RATE = 6, 128, 0.01
+#: Updates at least, and epochs at most: few labels take smaller batches and more epochs.
+UPDATES, MOST_EPOCHS = 240, 24
 #: Tokens whose input is kept by a worker before it starts afresh.
 CACHE_TOKENS = 200_000
 CHUNK = 4096
@@ -222,7 +224,9 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Network | None:
     counts = np.diff(np.append(first, len(window_doc)))
     first_odds = np.maximum(net.inputs(word_ids, flat, lens)[:, -1], np.array([odds.get(w, 0.0) for w in every], dtype=np.float32))
     guess = np.append(first_odds, -9)[window_ids].max(1)
-    for epoch in range(EPOCHS):
+    batch = min(BATCH, max(16, len(docs) // 16))
+    epochs = min(MOST_EPOCHS, max(EPOCHS, -(-UPDATES * batch // len(docs))))
+    for epoch in range(epochs):
         if epoch:
             fast = Scorer(net)
             fast.add(every)
@@ -235,8 +239,8 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Network | None:
                 picked.append(a + int(rng.integers(n)))
         picked = np.array(picked)
         rng.shuffle(picked)
-        for at in range(0, len(picked), BATCH):
-            rows = picked[at : at + BATCH]
+        for at in range(0, len(picked), batch):
+            rows = picked[at : at + batch]
             ids = window_ids[rows]
             mask = (ids < len(every)).astype(np.float32)
             used, inverse = np.unique(np.minimum(ids, len(every) - 1), return_inverse=True)
