@@ -1,0 +1,78 @@
+import hashlib
+from collections import defaultdict
+
+import duckdb
+import pytest
+
+from paperlake.llm import op6_sharding as op
+
+SF = "/root/testdata/sf0.01"
+
+
+def bits(key):
+    return f"{int(hashlib.md5(('null' if key is None else str(key)).encode()).hexdigest()[:8], 16):032b}"
+
+
+def brute(rows, limit):
+    """Buckets split one at a time: (key, bytes) to (depth, shard, shard_bytes)."""
+    done, todo = {}, [("", [(k, n) for k, n in rows])]
+    while todo:
+        prefix, own = todo.pop()
+        size = sum(n for _, n in own)
+        if size <= limit or len(prefix) == op.BITS:
+            for k, n in own:
+                done[k] = (len(prefix), prefix, size)
+            continue
+        for b in "01":
+            if part := [x for x in own if bits(x[0]).startswith(prefix + b)]:
+                todo.append((prefix + b, part))
+    return done
+
+
+@pytest.mark.parametrize("limit", [2_000, 50_000, 400_000, 1 << 30])
+def test_only_oversized_buckets_split(spark, limit):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], len((r["text"] or "").encode())) for r in docs.select("doc_id", "text").collect()]
+    want = brute(rows, limit)
+    got = op.assign(docs, limit=limit).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["depth"], r["shard"], r["shard_bytes"]) == want[r["doc_id"]]
+    pages = defaultdict(list)
+    for r in got:
+        pages[r["shard"], r["page"]].append(r["n_bytes"])
+    assert all(sum(x) <= limit or len(x) == 1 for x in pages.values())
+
+
+def test_keys_that_no_bit_parts_are_paged(spark):
+    rows = [(7, "x" * n) for n in [10, 20, 30, 95, 400, 0, 50] * 30] + [(k, "y" * 30) for k in range(100, 140)] + [(None, "z" * 60)] * 20 + [(None, None)]
+    df = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, shard int").repartition(7)
+    got = op.assign(df, limit=100).collect()
+    assert len(got) == len(rows)
+    pages = defaultdict(list)
+    for r in got:
+        pages[r["shard"], r["page"]].append(r["n_bytes"])
+        assert r["shard"] == bits(r["doc_id"])[: r["depth"]]
+    assert all(sum(x) <= 100 or len(x) == 1 for x in pages.values())
+    assert {len(s) for s, _ in pages} <= set(range(33))
+
+
+def test_rewrite_by_shard(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"text {k} " * 20, "kept") for k in range(60)] + [(None, "no key", "kept")], "doc_id long, text string, source string")
+    placed = op.write(df, f"file://{tmp_path}/out", limit=2000)
+    back = spark.read.option("basePath", f"file://{tmp_path}/out").parquet(f"file://{tmp_path}/out")
+    assert sorted(map(str, back.select("doc_id", "text", "source").collect())) == sorted(map(str, df.collect()))
+    sizes = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg({"n_bytes": "sum"}).withColumnRenamed("sum(n_bytes)", "n").collect()}
+    assert all(n <= 2000 for n in sizes.values())
+
+
+def test_empty_table(spark):
+    assert op.assign(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_same_as_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(op.SQL).fetchall()
+    got = [tuple(r) for r in op.op6_sharding(spark, SF).select(*con.sql(op.SQL).columns).collect()]
+    assert sorted(got) == sorted(want)
