@@ -238,7 +238,9 @@ def with_matches(docs: DataFrame, items: DataFrame, text: str = "text", into: st
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, bm25, overlap, answer_overlap, first_word): the documents that hold a test item, by item.
 
-    Clean documents have no row. Repeated rows of a document are each reported,
+    Clean documents have no row. An item of fewer than five words is one shingle
+    and is in documents of those words alone, not in all that hold a common
+    word. Repeated rows of a document are each reported,
     a null doc_id stays null, and empty tables give no rows.
     """
     found = with_matches(docs.select("doc_id", "text"), items)
