@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import bpe
-from .common import new_path, slices, table
+from .common import materialise, new_path, slices, table
 
 SCHEMA = "tokenizer binary, content binary, n_tokens long"
 TEXTS = 128
 MAX_TOKENS = 1024
+#: Digests of misses are broadcast up to this many, else joined by a shuffle.
+BROADCAST_DIGESTS = 200_000
 
 
 @functools.lru_cache(2)
@@ -75,21 +77,28 @@ def count_tokens(df: DataFrame, cache: str, tokenizer: str | None = None, patter
             yield pa.array(out, pa.int64())
 
     content = F.coalesce(F.col(text), F.lit(""))
-    named = df.select(F.col(key).alias("doc_id"), content.alias("_text")).withColumn("content", F.unhex(F.sha2("_text", 256)))
+    named = df.select(F.col(key).alias("doc_id"), content.alias("_text")).withColumn("digest", F.sha2("_text", 256))
+    misses = named.select("digest", "_text")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    misses = named.select("content", "_text")
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        misses = misses.join(_stored(spark, cache, version), "content", "left_anti")
-    new = misses.groupBy("content").agg(F.first("_text").alias("_text"))
-    new.select(F.lit(version).alias("tokenizer"), "content", n_tokens("_text").alias("n_tokens")).write.mode("append").parquet(cache)
-    sized = named.select("doc_id", "content", F.octet_length("_text").cast("long").alias("n_bytes"))
-    return sized.join(_stored(spark, cache, version), "content", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+        # digests alone are looked up; only the texts of misses are moved
+        missing = materialise(named.select("digest").distinct().join(_stored(spark, cache, version), "digest", "left_anti"), "token-misses")
+        missing = F.broadcast(missing) if missing.count() <= BROADCAST_DIGESTS else missing
+        misses = misses.join(missing, "digest", "left_semi")
+    new = misses.groupBy("digest").agg(F.first("_text").alias("_text"))
+    new.select(F.lit(version).alias("tokenizer"), F.unhex("digest").alias("content"), n_tokens("_text").alias("n_tokens")).write.mode("append").parquet(cache)
+    sized = named.select("doc_id", "digest", F.octet_length("_text").cast("long").alias("n_bytes"))
+    return sized.join(_stored(spark, cache, version), "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def _stored(spark: SparkSession, cache: str, version: bytes) -> DataFrame:
-    """One count per content of this tokenizer, also where two runs have appended the same."""
+    """One count per digest of this tokenizer, also where two runs have appended the same.
+
+    The digest is another expression than the grouped one, so that a join deals
+    it out anew and Spark can split the rows of a content with many copies.
+    """
     rows = spark.read.schema(SCHEMA).parquet(cache).where(F.col("tokenizer") == F.lit(version))
-    return rows.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    return rows.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")).select(F.lower(F.hex("content")).alias("digest"), "n_tokens")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
