@@ -27,41 +27,26 @@ LETTERS = regex.compile(r"\p{L}+")
 
 @dataclass
 class Model:
-    """Log frequencies by language of words and of n-grams, the latter by length."""
+    """Rows of ``logs``, log frequencies by language, of the known words and of the n-grams of all lengths."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]
-
-    def word(self, word: str) -> np.ndarray:
-        """Known words by their own frequency; others by the longest known n-gram at each place, per place."""
-        if (known := self.words.get(word)) is not None:
-            return known
-        marked = f"^{word}$"
-        total = np.zeros(len(self.langs))
-        places = 0
-        for i in range(len(marked) - 1):
-            penalty = 0.0
-            for n in range(min(LONGEST, len(marked) - i), 0, -1):
-                if (known := self.grams[n - 1].get(marked[i : i + n])) is not None:
-                    total += known + penalty
-                    places += 1
-                    break
-                penalty += BACK_OFF
-        return total / max(places, 1)
+    words: dict[str, int]
+    grams: dict[str, int]
+    logs: np.ndarray
 
 
-def _table(counts: list[Counter], least: int) -> dict[str, np.ndarray]:
+def _table(counts: list[Counter], least: int) -> tuple[list[str], np.ndarray]:
     """Log frequencies with half a count added; what has fewer than ``least`` in all is left to the backoff."""
     kept = sorted(k for k, n in sum(counts, Counter()).items() if n >= least)
     raw = np.array([[c[k] for c in counts] for k in kept], dtype=np.float64).reshape(len(kept), len(counts)) + 0.5
-    logs = np.log(raw / raw.sum(0))
-    return dict(zip(kept, logs, strict=True))
+    return kept, np.log(raw / raw.sum(0))
 
 
 def train(rows: list[tuple[str, str]]) -> Model:
     """From (text, lang) pairs."""
     langs = sorted({lang for _, lang in rows})
+    if not langs:
+        return Model([], {}, {}, np.zeros((0, 0)))
     place = {lang: i for i, lang in enumerate(langs)}
     words = [Counter() for _ in langs]
     for text, lang in rows:
@@ -73,34 +58,78 @@ def train(rows: list[tuple[str, str]]) -> Model:
             for n in range(1, LONGEST + 1):
                 for at in range(len(marked) - n + 1):
                     grams[n - 1][i][marked[at : at + n]] += c
-    return Model(langs, _table(words, 3) if langs else {}, [_table(g, 2) if langs else {} for g in grams])
+    known, logs = _table(words, 3)
+    of_grams = [_table(g, 2) for g in grams]
+    names = [g for kept, _ in of_grams for g in kept]
+    return Model(langs, {w: i for i, w in enumerate(known)}, {g: len(known) + i for i, g in enumerate(names)}, np.concatenate([logs, *(x for _, x in of_grams)]))
 
 
 class Identifier:
-    """Scores texts with the vectors of the tokens met so far; a token's runs of letters add up."""
+    """Scores texts with the vectors of the tokens met so far; a token's runs of letters add up.
+
+    What a token adds is looked up as rows of the model; the rows of many tokens are added at once.
+    """
 
     def __init__(self, model: Model, most: int = CACHE_TOKENS):
         self.model, self.most = model, most
+        #: The model's rows less the penalty of 0, 1, ... steps to shorter n-grams.
+        self.logs = np.concatenate([model.logs + k * BACK_OFF for k in range(LONGEST)])
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
         self.table = np.zeros((0, len(self.model.langs) + 1))
 
+    def rows(self, word: str) -> list[int]:
+        """A known word's row; of others, at each place the row of the longest known n-gram."""
+        if (own := self.model.words.get(word)) is not None:
+            return [own]
+        get, size = self.model.grams.get, len(self.model.logs)
+        marked = f"^{word}$"
+        out = [get(marked[i : i + LONGEST], -1) for i in range(len(marked) - 1)]
+        for i, r in enumerate(out):
+            if r >= 0:
+                continue
+            longest = min(LONGEST, len(marked) - i)
+            for n in range(longest, 0, -1):
+                if (r := get(marked[i : i + n])) is not None:
+                    out[i] = r + (longest - n) * size
+                    break
+        return [r for r in out if r >= 0]
+
     def learn(self, cut: list[list[str]]) -> None:
-        new = {t for x in cut for t in x if t not in self.known}
+        new = list({t for x in cut for t in x if t not in self.known})
         if len(self.known) + len(new) > self.most:
             self.clear()
-            new = {t for x in cut for t in x}
-        rows = np.zeros((len(new), len(self.model.langs) + 1))
+            new = list({t for x in cut for t in x})
+        flat: list[int] = []
+        counts: list[int] = []
+        owner: list[int] = []
         for i, t in enumerate(new):
-            runs = LETTERS.findall(t.lower())
-            self.known[t] = len(self.table) + i
-            if runs:
-                rows[i, :-1] = sum(self.model.word(w) for w in runs)
-                rows[i, -1] = len(runs)
-        self.table = np.concatenate([self.table, rows])
+            low = t.lower()
+            # most tokens are one run, or one with a mark behind it
+            runs = [low] if low.isalpha() else [low[:-1]] if low[:-1].isalpha() and not low[-1].isalpha() else LETTERS.findall(low)
+            for w in runs:
+                rows = self.rows(w)
+                flat += rows
+                counts.append(len(rows))
+                owner.append(i)
+        begin = len(self.known)
+        self.known.update(zip(new, range(begin, begin + len(new)), strict=True))
+        if begin + len(new) > len(self.table):
+            more = np.zeros((max(len(new), len(self.table)), self.table.shape[1]))
+            self.table = np.concatenate([self.table, more])
+        self.table[begin : begin + len(new)] = 0
+        if not owner or not self.model.langs:
+            return
+        places = np.array(counts)
+        means = np.zeros((len(owner), len(self.model.langs) + 1))
+        means[:, -1] = 1
+        some = np.flatnonzero(places)
+        if len(some):
+            means[some, :-1] = np.add.reduceat(self.logs[flat], (np.cumsum(places) - places)[some]) / places[some, None]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(owner) > 0]))
+        self.table[begin + np.array(owner)[first]] = np.add.reduceat(means, first)
 
     def identify(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         cut = [(t or "").split() for t in texts]
