@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.llm import op1_toxicity, op2_bpe_codec, op3_language, op4_simhash, op9_decontamination
-from paperlake.llm.common import materialise, table
+from paperlake.llm.common import connected_components, materialise, table
 
 #: Rows that leave by deduplication are broadcast up to this many, else joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -27,20 +27,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by fingerprints the document with the smallest doc_id; rows with a null doc_id stay.
 
-    Rows that repeat a doc_id and its text are one document; where ids repeat
-    with other texts, each text of the smallest id stays.
+    Groups are of fingerprints, and each row is decided by its own: an id that
+    repeats with another text neither joins two groups nor removes the other
+    row. Rows that repeat a doc_id and its text are one document; where ids
+    repeat with other texts, each text of a group's smallest id stays.
     """
-    found = materialise(op4_simhash.near_duplicates(docs), "pipeline-components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    prints = materialise(docs.where("doc_id is not null").select("doc_id", op4_simhash.fingerprints("text").alias("_print")), "pipeline-prints")
+    distinct = materialise(prints.groupBy("_print").agg(F.min("doc_id").alias("least")).select(F.col("_print").alias("fp"), F.col("_print").alias("rep"), "least"), "pipeline-distinct")
+    parts = connected_components(op4_simhash.links(distinct), "pipeline-links")
+    named = distinct.join(parts, distinct["rep"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "rep").alias("part"))
+    named = named.join(named.groupBy("part").agg(F.min("least").alias("first")), "part").select(F.col("fp").alias("_print"), "first")
+    found = materialise(prints.join(named, "_print").select("doc_id", "_print", "first"), "pipeline-components")
+    repeated = materialise(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
+    pairs = found.where("doc_id <> first").select("doc_id", "_print").distinct()
+    gone = pairs.select("doc_id").distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = materialise(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
     n = repeated.count()
     if n == 0:
-        return kept
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     repeated = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    again = docs.join(repeated, "doc_id", "left_semi").withColumn("_print", op4_simhash.fingerprints("text"))
+    once = again.join(pairs, ["doc_id", "_print"], "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    return docs.join(repeated, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(docs.columns).unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

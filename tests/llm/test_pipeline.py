@@ -81,3 +81,19 @@ def test_odd_rows_pass_every_stage(spark):
     assert stages["encoding"](spark, docs, SF).count() == len(rows)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_an_id_that_repeats_with_another_text(spark):
+    """Rows are decided by their own text: neither an id's other text nor its group removes them."""
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    a, b = "the quick brown fox jumps over the lazy dog and runs", "colourless green ideas sleep furiously in the old library"
+    run = lambda rows: sorted(tuple(r) for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect())
+    assert run([(1, a), (3, a), (3, b), (7, b)]) == [(1, a), (3, b)]
+    assert run([(3, a), (3, b), (3, b), (7, b), (8, a)]) == [(3, b), (3, a)]
+    # the id 3 is the smallest of near copies of b and stands in a group of 1
+    base = [f"word{i}" for i in range(3000)]
+    variants = [" ".join([*base[:-k], *["other"] * k]) for k in range(1, 200, 5)]
+    base = " ".join(base)
+    near = next(v for v in variants if brute_print(v) != brute_print(base))
+    assert brute_components([brute_print(base), brute_print(near)], [0, 1]) == [0, 0]
+    assert run([(1, a), (3, a), (3, base), (7, near), (7, b), (9, b)]) == [(1, a), (3, base), (7, b)]
