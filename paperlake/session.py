@@ -236,7 +236,8 @@ class DocumentSession:
         return self.store.write_part(name, df, list(dict.fromkeys(sort)))
 
     def insert(self, name: str, docs: object, atomic: bool = True, checked: bool = True) -> QueryResult:
-        """Append documents. ``atomic``: all or none; else those that break no rule, and the others' faults in ``df``.
+        """Append documents. ``atomic``: all or none; else those that break no rule, and all the others' faults in ``df``.
+        ``ids`` of the result holds at most 1000, in no order; all are in the collection.
 
         ``checked`` False is the untracked bulk path: no rules, no change log.
         """
@@ -253,14 +254,15 @@ class DocumentSession:
             if checked:
                 judged = self._faults(name, entry, rows, old, manifest)
                 faults = judged.where(F.size("_violations") > 0).select("_id", "_violations")
-                bad = faults.collect() if faults.count() <= 10_000 else faults.limit(10_000).collect()
+                faults = self.spark.read.schema(faults.schema).parquet(self.store.write_part(name, faults))  # one judgement, kept whole
+                bad = bool(faults.limit(1).collect())
                 if bad and atomic:
-                    raise K.Violation("; ".join(sorted({v for r in bad for v in r["_violations"]})))
+                    raise K.Violation("; ".join(sorted(r[0] for r in faults.select(F.explode("_violations")).distinct().collect())))
                 if bad:
                     rows = rows.join(faults.select("_id"), "_id", "left_anti").select(rows.columns)
                     staged = self._write(name, entry, rows)
                     rows = self.spark.read.schema(schema).parquet(staged)
-                    faults = self.spark.createDataFrame([(r["_id"], r["_violations"]) for r in bad], "_id string, violations array<string>")
+                    faults = faults.withColumnRenamed("_violations", "violations")
             if entry["schema"] != schema.json() and entry["parts"]:
                 entry["parts"] = [self._write(name, entry, M.aligned(old, schema))]
             entry["schema"] = schema.json()
@@ -485,6 +487,7 @@ class Transaction:
             self.rollback()
 
     def insert(self, name: str, docs: object) -> list[str]:
+        """Stage documents; gives at most 1000 of their ids, in no order: ``read`` has all."""
         name = collection_name(name)
         df = self.session._stamped(self.session._as_frame(docs))
         path = self.store.write_part(name, df)

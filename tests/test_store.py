@@ -140,3 +140,11 @@ def test_fluent(db):
     assert q.where((f.price == None) | f.name.isin("x")).count() == 2  # noqa: E711
     assert [r["name"] for r in q.order_by_descending(f.price).take(2).to_list()] == ["y", "x"]
     assert q.order_by(f.price).skip(1).first()["name"] == "x"
+
+
+def test_all_faults_of_a_large_insert_are_returned(db, spark):
+    db.insert("many", [{"_id": "a", "k": 2}])
+    db.create_index("u", "many", ["k"], unique=True)
+    r = db.insert("many", spark.range(10_050).selectExpr("cast(id AS string) AS _id", "bigint(1) AS k"), atomic=False)
+    assert r.affected == 1 and r.df.count() == 10_049 and r.df.columns == ["_id", "violations"]
+    assert db.query("SELECT * FROM many").count() == 2
