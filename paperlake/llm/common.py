@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a local one where that is unset, as in tests."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one of this machine where driver and executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback_roots:
         _fallback_roots[app] = "file://" + tempfile.mkdtemp(prefix="paperlake-")
@@ -81,12 +84,22 @@ def spanning_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
             label = above
 
 
+def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """For each edge (u, v) the pair of v and the m that ``least`` (u, m) has for u, as (a, b).
+
+    The join's key is another expression than the one that ``least`` was grouped
+    by, so that both sides are dealt out anew and the adaptive skew join can
+    split the rows of a hub.
+    """
+    key = F.bitwise_not(F.col("u"))
+    return edges.withColumn("_t", key).join(least.select(key.alias("_t"), "m"), "_t").select(F.col("v").alias("a"), F.col("m").alias("b"))
+
+
 def connected_components(edges: DataFrame, tag: str) -> DataFrame:
     """Components of undirected ``edges`` (a, b: long) as (node, component), component the smallest node.
 
     Large-star and small-star rounds as joins with a minimum per node, so that
-    no node's neighbours are gathered; a hub's rows can be split by the
-    adaptive skew join. Each round's edges are written to the shared folder.
+    no node's neighbours are gathered. Each round's edges are written to the shared folder.
     Nodes without edges, and nulls, aren't in the result.
     """
     spark = edges.sparkSession
@@ -107,11 +120,11 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
     while said[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = with_least(both.where("v > u"), least)
         now, middle = written(canonical(large))
         delete_path(spark, path)
         least = now.groupBy("u").agg(F.min("v").alias("m"))
-        small = now.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        small = with_least(now, least)
         now, path = written(canonical(small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))))
         delete_path(spark, middle)
         before, said = said, summary(now)

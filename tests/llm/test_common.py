@@ -1,0 +1,62 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from paperlake.llm import common
+
+CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+}
+
+
+@pytest.fixture
+def skewed(spark):
+    before = {k: spark.conf.get(k, None) for k in CONF}
+    for k, v in CONF.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_hubs_rows_are_split(skewed):
+    """A node with 100,000 neighbours among 2000 of one: the join reads its rows in several tasks."""
+    hub = skewed.range(100_000).select(F.lit(0).cast("long").alias("u"), (F.col("id") + 10_000).alias("v"))
+    edges = hub.unionByName(skewed.range(1, 2001).select(F.col("id").alias("u"), (F.col("id") + 500_000).alias("v")))
+    joined = common.with_least(edges, edges.groupBy("u").agg(F.min("v").alias("m")))
+    got = joined.groupBy("b").count().where("count > 1").collect()
+    assert [tuple(r) for r in got] == [(10_000, 100_000)]
+    rows = joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert len(rows) == 102_000 and "skew=true" in plan
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_components_are_those_of_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, 300, 220), rng.integers(0, 300, 220)
+    a[:60], b[:60] = 7, np.arange(400, 460)  # a hub
+    a[60:90], b[60:90] = np.arange(500, 530), np.arange(501, 531)  # a chain
+    label = {n: n for n in {*a.tolist(), *b.tolist()}}
+    for _ in range(len(label)):
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            label[x] = label[y] = min(label[x], label[y])
+    edges = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a long, b long")
+    got = {r["node"]: r["component"] for r in common.connected_components(edges, "test").collect()}
+    want = {n: c for n, c in label.items() if any(label[m] == c and m != n for m in label)}
+    assert {n: got.get(n, n) for n in want} == want
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    class Context:
+        master, applicationId = "spark://somewhere:7077", "app"
+
+    class Session:
+        conf, sparkContext = {}, Context
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_root(Session)
