@@ -63,13 +63,24 @@ def _literal_text(value: object) -> str:
     return str(value)
 
 
-def _timestamp(text: str) -> dt.datetime | None:
+def moment(text: str) -> dt.datetime | None:
     try:
         return dt.datetime.fromisoformat(text.replace("Z", "+00:00"))
     except ValueError:
         return None
 
 
+def as_key(value: object, kind: T.DataType) -> Ref | None:
+    """A literal as what equal values of a field are placed by; None where that isn't known for the field's type."""
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    if isinstance(kind, T.NumericType):
+        try:
+            return Ref(F.lit(float(value)), T.DoubleType()) if number or isinstance(value, str) else None
+        except ValueError:
+            return None
+    return Ref(F.lit(_literal_text(value)), T.StringType()) if isinstance(kind, T.StringType) else None
+
+
 def compare(ref: Ref, op: str, value: object) -> Column:
     """``ref op literal`` by the type of both; of unlike types as text without regard to case. Nothing compares with NULL."""
     test = OPS[op]
@@ -87,8 +98,7 @@ def compare(ref: Ref, op: str, value: object) -> Column:
     if isinstance(ref.kind, T.NumericType) and number or isinstance(ref.kind, T.StringType) and isinstance(value, str) or isinstance(ref.kind, T.BooleanType) and isinstance(value, bool):
         return test(ref.column, F.lit(value))
     if isinstance(ref.kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) and isinstance(value, str):
-        moment = _timestamp(value)
-        return test(ref.column, F.lit(value).cast(ref.kind)) if moment else test(as_text(ref), F.lit(value))
+        return test(ref.column, F.lit(value).cast(ref.kind)) if moment(value) else test(as_text(ref), F.lit(value))
     return unlike
 
 

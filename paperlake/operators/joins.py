@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .compare import as_text
-from .paths import PathError, Ref, Scope, Star, parse_path
+from .paths import INTERNAL, PathError, Ref, Scope, Star, parse_path
+
+#: Columns: which document of the right side, and one element of its array.
+TAG, ELEMENT = f"{INTERNAL}tag", f"{INTERNAL}element"
 
 
 def nested(df: DataFrame, name: str) -> DataFrame:
@@ -24,9 +27,9 @@ def joined(df: DataFrame, sides: tuple[str, ...] | None, first: str, other: Data
     spark = df.sparkSession
     if sides is None:
         df, sides = nested(df, first), (first,)
-    name = join.collection
-    if name in sides:
-        raise ValueError(f"{name} can't be joined with itself: there are no aliases of collections")
+    name = join.alias or join.collection
+    if name.lower() in (s.lower() for s in sides):
+        raise ValueError(f"two sides are called {name}: give one an alias")
     if other is None:
         other = spark.createDataFrame([], T.StructType([]))
         right = spark.createDataFrame([], T.StructType([T.StructField(name, T.StructType([]))]))
@@ -35,7 +38,7 @@ def joined(df: DataFrame, sides: tuple[str, ...] | None, first: str, other: Data
     if join.kind == "cross":
         return df.crossJoin(right), (*sides, name)
     left_scope, right_scope = Scope(df.schema, sides), Scope(right.schema, (name,))
-    on = []
+    on, tagged = [], None
     for k, (a, b) in enumerate(join.on):
         if _prefix(a, (name,)) and not _prefix(b, (name,)) or not _prefix(a, sides) and not _prefix(b, (name,)) and _has(right_scope, name, a) and not _has(left_scope, sides, a):
             a, b = b, a
@@ -45,16 +48,25 @@ def joined(df: DataFrame, sides: tuple[str, ...] | None, first: str, other: Data
         if every and isinstance(found.kind, T.ArrayType):
             if len(join.on) > 1:
                 raise PathError("[*] needs a join on one pair of paths")
-            right = right.withColumn("_element", F.explode_outer(F.array_distinct(found.column) if not isinstance(found.kind.elementType, T.VariantType) else F.array_distinct(F.transform(found.column, lambda x: F.try_variant_get(x, "$", "string")))))
-            found = Ref(F.col("_element"), right.schema["_element"].dataType)
+            elements = F.array_distinct(found.column if not isinstance(found.kind.elementType, T.VariantType) else F.transform(found.column, lambda x: F.try_variant_get(x, "$", "string")))
+            if join.kind == "right":
+                tagged = right = right.withColumn(TAG, F.monotonically_increasing_id())
+            right = right.withColumn(ELEMENT, F.explode_outer(elements))
+            found = Ref(F.col(ELEMENT), right.schema[ELEMENT].dataType)
         lc, rc = _alike(left, found)
-        df, right = df.withColumn(f"_l{k}", lc), right.withColumn(f"_r{k}", rc)
-        on.append(F.col(f"_l{k}") == F.col(f"_r{k}"))
+        df, right = df.withColumn(f"{INTERNAL}l{k}", lc), right.withColumn(f"{INTERNAL}r{k}", rc)
+        on.append(F.col(f"{INTERNAL}l{k}") == F.col(f"{INTERNAL}r{k}"))
     condition = on[0]
     for c in on[1:]:
         condition = condition & c
-    out = df.join(right, condition, join.kind)
-    return out.select(*[F.col(f"`{s}`") for s in (*sides, name)]), (*sides, name)
+    columns = [F.col(f"`{s}`") for s in (*sides, name)]
+    if tagged is None:
+        return df.join(right, condition, join.kind).select(*columns), (*sides, name)
+    # a document of the right side that any element joins isn't padded for the others
+    met = df.join(right, condition)
+    alone = tagged.join(met.select(F.col(TAG).alias(f"{INTERNAL}met")).distinct(), F.col(TAG) == F.col(f"{INTERNAL}met"), "left_anti")
+    none = [F.lit(None).cast(df.schema[s].dataType).alias(s) for s in sides]
+    return met.select(*columns).unionByName(alone.select(*none, columns[-1])), (*sides, name)
 
 
 def _prefix(path: str, names: tuple[str, ...]) -> bool:

@@ -9,45 +9,101 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import compare as C
-from .paths import Scope, parse_path
+from .paths import INTERNAL, Scope, parse_path
 
 #: Conditions of a conditional update; null ranks lowest, so that nothing absent is at least anything.
 CONDITIONS = ("Eq", "Ne", "Lt", "Lte", "Gt", "Gte", "Exists", "NotExists")
 MUTATIONS = ("Set", "Inc", "Dec", "Unset")
+#: Bits of whole numbers besides the sign.
+INTEGERS = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}
+
+
+def merged(a: T.DataType, b: T.DataType) -> T.DataType:
+    """A type for values of both: a wider number, fields of both, or else text."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        return widened(a, b)
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(merged(a.elementType, b.elementType))
+    if isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType):
+        return T.LongType()
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        return T.DoubleType()
+    return T.StringType()
+
+
+def _cast(column: Column, old: T.DataType, new: T.DataType) -> Column:
+    """A column as a merged type: nested values become their JSON where the type is text, fields that are new are null."""
+    if old == new:
+        return column
+    if isinstance(new, T.StringType) and isinstance(old, (T.StructType, T.ArrayType, T.MapType)):
+        return F.to_json(column)
+    if isinstance(old, T.StructType) and isinstance(new, T.StructType):
+        fields = [(_cast(column.getField(f.name), old[f.name].dataType, f.dataType) if f.name in old.fieldNames() else F.lit(None).cast(f.dataType)).alias(f.name) for f in new.fields]
+        return F.when(column.isNotNull(), F.struct(*fields))
+    if isinstance(old, T.ArrayType) and isinstance(new, T.ArrayType):
+        return F.transform(column, lambda x: _cast(x, old.elementType, new.elementType))
+    return column.cast(new)
+
+
+def _held_type(kind: T.DataType, steps: list, leaf: T.DataType) -> T.DataType | None:
+    """A type in which the value at ``steps`` can also be a ``leaf``; None where the path leads through something else."""
+    if not steps:
+        return merged(kind, leaf)
+    first, rest = steps[0], steps[1:]
+    if isinstance(kind, T.StructType) and isinstance(first, str):
+        if first not in kind.fieldNames():
+            return T.StructType([*kind.fields, T.StructField(first, leaf)]) if not rest else None
+        inner = _held_type(kind[first].dataType, rest, leaf)
+        return None if inner is None else T.StructType([T.StructField(f.name, inner if f.name == first else f.dataType) for f in kind.fields])
+    if isinstance(kind, T.ArrayType) and isinstance(first, int):
+        inner = _held_type(kind.elementType, rest, leaf)
+        return None if inner is None else T.ArrayType(inner)
+    return None
 
 
-def _replaced(column: Column, kind: T.DataType, steps: list, new: Column) -> Column | None:
-    """A struct with one field replaced; None where the path leads through something else, which changes nothing."""
+def _replaced(column: Column, kind: T.DataType, steps: list, new: Column, leaf: T.DataType) -> Column:
+    """A value with what stands at ``steps`` replaced; ``kind`` is its type, which can hold the new one."""
     if not steps:
-        return new
-    if isinstance(kind, T.StructType) and isinstance(steps[0], str):
-        if steps[0] not in kind.fieldNames():
-            return F.when(column.isNotNull(), column.withField(f"`{steps[0]}`", new)) if len(steps) == 1 else None
-        inner = _replaced(column.getField(steps[0]), kind[steps[0]].dataType, steps[1:], new)
-        return None if inner is None else F.when(column.isNotNull(), column.withField(f"`{steps[0]}`", inner))
-    if isinstance(kind, T.ArrayType) and isinstance(steps[0], int):
-        inner_of = lambda x, i: F.when(i == int(steps[0]), _replaced(x, kind.elementType, steps[1:], new)).otherwise(x)
-        return None if _replaced(F.lit(None), kind.elementType, steps[1:], new) is None else F.transform(column, inner_of)
-    return None
+        return _cast(new, leaf, kind)
+    if isinstance(steps[0], int):
+        return F.transform(column, lambda x, i: F.when(i == int(steps[0]), _replaced(x, kind.elementType, steps[1:], new, leaf)).otherwise(x))
+    inner = _replaced(column.getField(steps[0]), kind[steps[0]].dataType, steps[1:], new, leaf)
+    return F.when(column.isNotNull(), column.withField(f"`{steps[0]}`", inner))
 
 
-def assign(df: DataFrame, path: str, new: Column, when: Column | None = None) -> DataFrame:
-    """Set a path where ``when`` holds. A new top-level field becomes a column; a nested path needs its parents."""
-    steps = parse_path(path)
-    first = steps[0]
+def assign(df: DataFrame, path: str, new: Column, when: Column | None = None, kind: T.DataType | None = None) -> DataFrame:
+    """Set a path where ``when`` holds. A new top-level field becomes a column; a nested path needs its parents.
+
+    The value is stored as it is: where the field's type can't hold it, the
+    field becomes wider, as on insert. ``kind``: the new value's type if known.
+    """
+    first, *rest = parse_path(path)
     held = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
-    if len(steps) == 1:
-        old = F.col(f"`{first}`") if first in df.columns else F.lit(None)
-        kind = df.schema[first].dataType if first in df.columns else None
-        value = new.cast(kind) if kind is not None else new
-        return df.withColumn(first, F.when(held, value).otherwise(old))
+    leaf = df.select(new.alias("v")).schema["v"].dataType if kind is None else kind
     if first not in df.columns:
+        return df if rest else df.withColumn(first, F.when(held, new))
+    old = df.schema[first].dataType
+    wide = _held_type(old, rest, leaf)
+    if wide is None:
         return df
-    column, kind = F.col(f"`{first}`"), df.schema[first].dataType
-    target = Scope(df.schema).ref(path).kind
-    value = new if isinstance(target, T.NullType) else new.cast(target)
-    changed = _replaced(column, kind, steps[1:], value)
-    return df if changed is None else df.withColumn(first, F.when(held, changed).otherwise(column))
+    column = _cast(F.col(f"`{first}`"), old, wide)
+    return df.withColumn(first, F.when(held, _replaced(column, wide, rest, new, leaf)).otherwise(column))
+
+
+def literal(value: object, kind: T.DataType) -> Column:
+    """A value as a column, of a field's own type where that holds it unchanged."""
+    if isinstance(value, (dict, list)):
+        text = json.dumps(value)
+        return F.from_json(F.lit(text), F.schema_of_json(F.lit(text)))
+    if isinstance(value, int) and not isinstance(value, bool) and (isinstance(kind, tuple(INTEGERS)) and -(2 ** INTEGERS[type(kind)]) <= value < 2 ** INTEGERS[type(kind)] or isinstance(kind, T.DoubleType)):
+        return F.lit(value).cast(kind)
+    if isinstance(value, str) and isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) and C.moment(value):
+        return F.lit(value).cast(kind)
+    return F.lit(value)
 
 
 def holds(df: DataFrame, conditions: list[tuple]) -> Column:
@@ -76,7 +132,7 @@ def holds(df: DataFrame, conditions: list[tuple]) -> Column:
 def mutate(df: DataFrame, mutations: list[tuple], when: Column) -> DataFrame:
     """Apply (path, mutation, value) where ``when`` holds; every one reads the document as it was."""
     before = df
-    held = "_held"
+    held = f"{INTERNAL}held"
     df = df.withColumn(held, F.coalesce(when, F.lit(False)))
     for path, kind, *value in mutations:
         if kind not in MUTATIONS:
@@ -86,44 +142,56 @@ def mutate(df: DataFrame, mutations: list[tuple], when: Column) -> DataFrame:
             by = value[0] if value else 1
             new = F.coalesce(ref.column, F.lit(0)) + F.lit(by if kind == "Inc" else -by)
         else:
-            new = F.lit(None) if kind == "Unset" else _literal(value[0])
+            new = F.lit(None) if kind == "Unset" else literal(value[0], ref.kind)
         df = assign(df, path, new, F.col(held))
     return df.drop(held)
 
 
-def _literal(value: object) -> Column:
-    if isinstance(value, (dict, list)):
-        text = json.dumps(value)
-        return F.from_json(F.lit(text), F.schema_of_json(F.lit(text)))
-    return F.lit(value)
-
-
 def merge_patch(df: DataFrame, patch: dict, when: Column) -> DataFrame:
     """A shallow merge: a null removes a field, anything else sets it. The key and version stay."""
     parts = [(k, "Unset") if v is None else (k, "Set", v) for k, v in patch.items() if k not in ("_id", "_etag")]
     return mutate(df, parts, when)
 
 
+#: What the operations of a patch are called.
+OPERATIONS = {"set": "Set", "inc": "Inc", "dec": "Dec", "unset": "Unset"}
+
+
+def patch_operations(body: dict) -> list[tuple]:
+    """A patch as mutations: a merge document, where null removes a field, or ``{"$ops": [{"field", "op", "value"}, ...]}``.
+
+    The key and version stay as they are. ValueError for what isn't a patch, or changes nothing.
+    """
+    if "$ops" not in body:
+        out = [(k, "Unset") if v is None else (k, "Set", v) for k, v in body.items() if k not in ("_id", "_etag")]
+    else:
+        if set(body) != {"$ops"} or not isinstance(body["$ops"], list):
+            raise ValueError("$ops must be a list and stand alone")
+        out = []
+        for op in body["$ops"]:
+            field, name = op.get("field"), str(op.get("op", "")).lower()
+            if not field or name not in OPERATIONS:
+                raise ValueError(f"not an operation: {op!r}; known: {', '.join(OPERATIONS)}")
+            if field in ("_id", "_etag"):
+                raise ValueError(f"{field} can't be changed")
+            if name == "set" and "value" not in op:
+                raise ValueError(f"{field}: set needs a value")
+            if name in ("inc", "dec") and (isinstance(op.get("value", 1), bool) or not isinstance(op.get("value", 1), (int, float))):
+                raise ValueError(f"{field}: {name} needs a number")
+            out.append((field, OPERATIONS[name]) if name == "unset" else (field, OPERATIONS[name], op.get("value", 1)))
+    if not out:
+        raise ValueError("the patch is empty")
+    return out
+
+
 def aligned(df: DataFrame, schema: T.StructType) -> DataFrame:
     """A frame's columns as a schema has them, missing ones null."""
-    return df.select(*[(F.col(f"`{f.name}`").cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
+    return df.select(*[(_cast(F.col(f"`{f.name}`"), df.schema[f.name].dataType, f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
 
 
 def widened(a: T.StructType, b: T.StructType) -> T.StructType:
     """Both schemas' fields, a number that isn't alike as a double, other unlike types as strings."""
     out = {f.name: f.dataType for f in a.fields}
     for f in b.fields:
-        old = out.get(f.name)
-        if old is None or isinstance(old, T.NullType) or old == f.dataType:
-            out[f.name] = f.dataType
-        elif isinstance(f.dataType, T.NullType):
-            continue
-        elif isinstance(old, T.StructType) and isinstance(f.dataType, T.StructType):
-            out[f.name] = widened(old, f.dataType)
-        elif isinstance(old, T.IntegralType) and isinstance(f.dataType, T.IntegralType):
-            out[f.name] = T.LongType()
-        elif isinstance(old, T.NumericType) and isinstance(f.dataType, T.NumericType):
-            out[f.name] = T.DoubleType()
-        else:
-            out[f.name] = T.StringType()
+        out[f.name] = merged(out[f.name], f.dataType) if f.name in out else f.dataType
     return T.StructType([T.StructField(k, v) for k, v in out.items()])

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STAR = "*"
+#: Names that begin so are the engine's own; documents can't have such fields.
+INTERNAL = "__pl_"
 _STEP = re.compile(r"(?:^|\.)(?:`([^`]+)`|([^.\[\]`]+))|\[(\d+|-\d+|\*)\]")
 
 

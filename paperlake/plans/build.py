@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from .. import functions
 from ..operators import compare as C
-from ..operators.joins import joined
+from ..operators.joins import joined, nested
 from ..operators.paths import Ref, Scope
 from . import ast
 
@@ -88,6 +89,30 @@ def _aggregates(node: object) -> list[ast.Aggregate]:
     return [x for k in ("left", "right", "inner", "path") if hasattr(node, k) for x in _aggregates(getattr(node, k))]
 
 
+def key_values(q: ast.Select, name: str, path: str) -> list | None:
+    """The literals of which a path must equal one for a document of ``name`` to be in the result; None where that isn't known."""
+    if q.joins or q.collection.lower() != name or q.where is None:
+        return None
+    names = {path.lower(), f"{(q.alias or q.collection).lower()}.{path.lower()}"}
+
+    def of(node: object) -> list | None:
+        if isinstance(node, ast.And):
+            left, right = of(node.left), of(node.right)
+            return right if left is None else left if right is None or len(left) <= len(right) else right
+        if isinstance(node, ast.Or):
+            left, right = of(node.left), of(node.right)
+            return None if left is None or right is None else left + right
+        if not isinstance(getattr(node, "left", None), ast.Path) or node.left.text.lower() not in names:
+            return None
+        if isinstance(node, ast.In):
+            return [v for v in node.values if v is not None]
+        if isinstance(node, ast.Compare) and node.op == "=" and isinstance(node.right, ast.Literal) and node.right.value is not None:
+            return [node.right.value]
+        return None
+
+    return of(q.where)
+
+
 def select(q: ast.Select, find: Callable[[str], DataFrame | None]) -> DataFrame:
     """``find`` gives a collection's frame, None for one that isn't there."""
     df = find(q.collection)
@@ -98,11 +123,18 @@ def select(q: ast.Select, find: Callable[[str], DataFrame | None]) -> DataFrame:
             raise CollectionNotFound(q.collection, count=True)
         raise CollectionNotFound(q.collection)
     sides = None
+    if q.alias and not q.joins:
+        df, sides = nested(df, q.alias), (q.alias,)
     for join in q.joins:
-        df, sides = joined(df, sides, q.collection, find(join.collection), join)
+        df, sides = joined(df, sides, q.alias or q.collection, find(join.collection), join)
     scope = scope_of(df, sides)
     if q.where is not None:
         df = df.filter(condition(scope, q.where))
+    if q.alias and not q.joins and items is None and not q.group:  # whole documents
+        df = df.select(f"`{q.alias}`.*")
+        scope = scope_of(df)
+        prefix = q.alias.lower() + "."
+        q = dataclasses.replace(q, order=[(k[len(prefix) :] if k.lower().startswith(prefix) else k, down) for k, down in q.order])
     grouped = bool(q.group) or any(isinstance(i.value, ast.Aggregate) for i in items or [])
     if grouped:
         df = _grouped(df, scope, q)

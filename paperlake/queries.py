@@ -16,6 +16,7 @@ from .plans import build
 from .plans.parser import parse
 from .session import DocumentSession, deleted, inserted, updated
 from .sources import documents
+from .sources.store import scratch_root
 from .streaming import changes as W
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,13 +43,18 @@ class Tables(dict):
         return self[name]
 
 
+    def get_frame(self, name: str) -> DataFrame | None:
+        name = name.lower()
+        return self[name] if name in self or name in (*TABLES, "orders_doc", "events_var") else None
+
+
 class TableSession(DocumentSession):
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__(spark)
         self.frames = Tables(spark, sf_dir)
 
     def find(self, name: str, version: int | None = None) -> DataFrame | None:
-        return self.frames[name.lower()] if name.lower() in (*TABLES, "orders_doc", "events_var") else None
+        return self.frames.get_frame(name)
 
 
 def orders_doc(t: Tables) -> DataFrame:
@@ -240,12 +246,6 @@ def patch_merge(t: Tables) -> DataFrame:
     return M.merge_patch(df, {"s_acctbal": None, "s_name": "gone"}, M.holds(df, [("s_nationkey", "Eq", 1)])).select("s_suppkey", "s_acctbal", "s_name")
 
 
-@native("SELECT * FROM customer WHERE c_custkey <> 3 UNION ALL SELECT 3, 'new', 1, 0.0, 'NONE'")
-def replace_by_id(t: Tables) -> DataFrame:
-    new = t.spark.createDataFrame([(3, "new", 1, 0.0, "NONE")], t["customer"].schema)
-    return t["customer"].join(new.select("c_custkey"), "c_custkey", "left_anti").select(t["customer"].columns).unionByName(new)
-
-
 # constraints: what breaks them
 @native("SELECT l_orderkey, l_linenumber, count(*) AS count FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def unique_violations(t: Tables) -> DataFrame:
@@ -258,17 +258,17 @@ def _labelled(t: Tables) -> DataFrame:
 
 @native("SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL")
 def required_violations(t: Tables) -> DataFrame:
-    return K.violations(_labelled(t), K.Rules(required=["quality"])).where(F.size("_violations") > 0).select("doc_id")
+    return K.violations(_labelled(t), K.Rules(required=["quality"])).where(F.size(K.BROKEN) > 0).select("doc_id")
 
 
 @native("SELECT doc_id, 'lang must be Int' AS broken FROM documents WHERE lang IS NOT NULL")
 def type_violations(t: Tables) -> DataFrame:
-    return K.violations(_labelled(t), K.Rules(types={"lang": "Int", "doc_id": "Number"})).select("doc_id", F.explode("_violations").alias("broken"))
+    return K.violations(_labelled(t), K.Rules(types={"lang": "Int", "doc_id": "Number"})).select("doc_id", F.explode(K.BROKEN).alias("broken"))
 
 
 @native("SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality < 1")
 def check_violations(t: Tables) -> DataFrame:
-    return K.violations(_labelled(t), K.Rules(checks=[("quality", "Gte", 1)])).where(F.size("_violations") > 0).select("doc_id")
+    return K.violations(_labelled(t), K.Rules(checks=[("quality", "Gte", 1)])).where(F.size(K.BROKEN) > 0).select("doc_id")
 
 
 @native("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -312,3 +312,20 @@ def shard_partial_agg(t: Tables) -> DataFrame:
 def rebalance_plan(t: Tables) -> DataFrame:
     key = F.col("o_custkey")
     return H.rebalance_plan(t["orders"], F.pmod(key, F.lit(4).cast("long")), F.pmod(key, F.lit(6).cast("long")))
+
+
+def rows_in_store(t: Tables, **tables: str) -> DocumentSession:
+    """A database of its own that holds tables, each with the text of a column as its documents' ``_id``."""
+    db = DocumentSession(t.spark, scratch_root(t.spark))
+    for name, key in tables.items():
+        db.insert(name, t[name].withColumn("_id", F.col(key).cast("string")), checked=False)
+    return db
+
+
+def plain(db: DocumentSession, name: str) -> DataFrame:
+    """A collection's own fields."""
+    df = db.find(name)
+    return df.drop("_id", "_etag")
+
+
+from . import stored_queries  # noqa: E402, F401  registers the queries that go through the store

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +14,11 @@ from pyspark.sql import types as T
 from .operators import compare as C
 from .operators import constraints as K
 from .operators import mutations as M
-from .operators.paths import Scope, field_paths
+from .operators.paths import INTERNAL, Scope, field_paths
 from .plans import ast, build
 from .plans.parser import parse
 from .sources import documents
-from .sources.store import Store, collection_name
+from .sources.store import Store, collection_name, index_paths, shard_of
 from .streaming.changes import expired
 
 
@@ -32,7 +32,12 @@ class QueryResult:
     success: bool = True
     code: str | None = None
     elapsed: float = 0.0
-    ids: list[str] = field(default_factory=list)
+    inserted: DataFrame | None = None
+
+    @property
+    def ids(self) -> list[str]:
+        """The inserted documents' ids on the driver, all of them; ``inserted`` has them as a frame."""
+        return [] if self.inserted is None else [r["_id"] for r in self.inserted.collect()]
 
     @property
     def plan(self) -> str:
@@ -49,6 +54,17 @@ class EtagMismatch(RuntimeError):
     pass
 
 
+class ReservedField(ValueError):
+    """A document has a field whose name begins as the engine's own do."""
+
+
+#: Bytes of files up to which a replicated collection is sent to every executor; a larger one is joined as any other.
+REPLICATED_BYTES = 64 << 20
+#: Which row of which file a new document is: what tells equal documents apart.
+ROW = f"{INTERNAL}row"
+HIT = f"{INTERNAL}hit"
+
+
 def where(df: DataFrame, condition: object) -> Column:
     """A parsed condition as a two-valued Column."""
     return F.lit(True) if condition is None else F.coalesce(build.condition(build.scope_of(df), condition), F.lit(False))
@@ -56,13 +72,16 @@ def where(df: DataFrame, condition: object) -> Column:
 
 def updated(df: DataFrame, q: ast.Update) -> DataFrame:
     """The collection after an UPDATE; assignments read the documents as they were."""
-    out = df.withColumn("_hit", where(df, q.where))
+    hit, new = f"{INTERNAL}where", f"{INTERNAL}new"
+    out = df.withColumn(hit, where(df, q.where))
     scope = build.scope_of(df)
-    for i, (_, node) in enumerate(q.sets):
-        out = out.withColumn(f"_new{i}", build.value(scope, node).column)
+    for i, (path, node) in enumerate(q.sets):
+        value = M.literal(node.value, scope.ref(path).kind) if isinstance(node, ast.Literal) else build.value(scope, node).column
+        out = out.withColumn(f"{new}{i}", value)
+    kinds = [out.schema[f"{new}{i}"].dataType for i in range(len(q.sets))]
     for i, (path, _) in enumerate(q.sets):
-        out = M.assign(out, path, F.col(f"_new{i}"), F.col("_hit"))
-    return out.drop("_hit", *[f"_new{i}" for i in range(len(q.sets))])
+        out = M.assign(out, path, F.col(f"{new}{i}"), F.col(hit), kinds[i])
+    return out.drop(hit, *[f"{new}{i}" for i in range(len(q.sets))])
 
 
 def deleted(df: DataFrame, q: ast.Delete) -> DataFrame:
@@ -105,7 +124,32 @@ class DocumentSession:
         name = collection_name(name)
         if name in self.frames:
             return self.frames[name]
-        return self.store.read(name, version) if self.store else None
+        if self.store is None:
+            return None
+        manifest = self.store.manifest(version)
+        entry = manifest["collections"].get(name)
+        df = self.store.read(name, manifest=manifest)
+        if entry and entry.get("replicated") and self.store.size(entry) <= REPLICATED_BYTES:
+            return F.broadcast(df)
+        return df
+
+    def _found(self, q: ast.Select) -> Callable[[str], DataFrame | None]:
+        """``find`` for a SELECT: a collection that is laid out by a key which the condition fixes is read in those shards alone."""
+
+        def find(name: str) -> DataFrame | None:
+            name = collection_name(name)
+            entry = self.store.manifest()["collections"].get(name) if self.store and name not in self.frames else None
+            keys = build.key_values(q, name, entry["shard"]["path"]) if entry and entry.get("shard") else None
+            if keys is None:
+                return self.find(name)
+            kind = Scope(T.StructType.fromJson(json.loads(entry["schema"]))).ref(entry["shard"]["path"]).kind
+            placed = [C.as_key(v, kind) for v in keys]
+            if any(p is None for p in placed):
+                return self.find(name)
+            wanted = [shard_of(p, entry["shard"]["shards"]).alias(f"s{i}") for i, p in enumerate(placed)]
+            return self.store.rows(entry, list(self.spark.range(1).select(*wanted).first()) if wanted else [])
+
+        return find
 
     def collection(self, name: str):
         from .fluent import Query
@@ -157,7 +201,7 @@ class DocumentSession:
         if self.auto_limit is not None and q.limit is None:
             q.limit = self.auto_limit
         try:
-            return build.select(q, self.find)
+            return build.select(q, self._found(q))
         except build.CollectionNotFound as e:
             if e.count:
                 return self.spark.createDataFrame([(0,)], "count long")
@@ -173,7 +217,7 @@ class DocumentSession:
             elif isinstance(q, ast.Insert):
                 out = self.insert(q.collection, inserted(self.spark, q))
             elif isinstance(q, ast.Update):
-                out = self._rewrite(q.collection, lambda df: where(df, q.where), lambda df: updated(df, q), "update")
+                out = self._rewrite(q.collection, lambda df: where(df, q.where), lambda df: updated(df, q))
             elif isinstance(q, ast.Delete):
                 out = self.delete(q.collection, lambda df: where(df, q.where))
             elif isinstance(q, ast.CreateIndex):
@@ -194,6 +238,8 @@ class DocumentSession:
         return json.loads(json.dumps(entry))
 
     def _stamped(self, df: DataFrame, new_etag: bool = True) -> DataFrame:
+        if taken := [c for c in df.columns if c.startswith(INTERNAL)]:
+            raise ReservedField(f"{', '.join(taken)}: names that begin with {INTERNAL} are the engine's own")
         fresh = F.expr("replace(uuid(), '-', '')")
         df = df.withColumn("_id", F.coalesce(F.col("_id").cast("string"), fresh) if "_id" in df.columns else fresh)
         df = df.withColumn("_etag", fresh) if new_etag else df
@@ -209,37 +255,50 @@ class DocumentSession:
     def _log_rows(self, df: DataFrame) -> DataFrame:
         return df.select(F.col("_id").alias("id"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("document"))
 
+    def _rows(self, path: str, schema: T.StructType) -> DataFrame:
+        """A part just written, with which row of which file each document is."""
+        df = self.store.load(schema, path)
+        return df.select(*[F.col(f"`{c}`") for c in schema.fieldNames()], F.struct("_metadata.file_path", "_metadata.row_index").alias(ROW))
+
     def _faults(self, name: str, entry: dict, new: DataFrame, rest: DataFrame | None, manifest: dict) -> DataFrame:
-        """New documents with what each breaks: rules, references, uniqueness among themselves and against the rest."""
+        """New documents (with ``ROW``) and what each breaks: rules, references, uniqueness among themselves and against the rest."""
         rules = K.Rules.from_json(entry["rules"]) if entry["rules"] else K.Rules()
         out = K.violations(new, rules)
+
+        def marked(out: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+            bad = rows.select(F.col(ROW).alias(f"{INTERNAL}bad")).distinct()
+            more = F.when(F.col(f"{INTERNAL}bad").isNotNull(), F.array_append(K.BROKEN, F.lit(text))).otherwise(F.col(K.BROKEN))
+            return out.join(bad, F.col(ROW) == F.col(f"{INTERNAL}bad"), "left").withColumn(K.BROKEN, more).drop(f"{INTERNAL}bad")
+
         for r in rules.refs:
-            parents = self.store.read(r.collection, manifest=manifest)
-            lost = K.dangling(new, r.path, parents, r.target).select(F.col("_id").alias("_lost")).distinct()
-            out = out.join(lost, F.col("_id") == F.col("_lost"), "left").withColumn("_violations", F.when(F.col("_lost").isNotNull(), F.array_append("_violations", F.lit(f"{r.path} refers to no {r.collection}"))).otherwise(F.col("_violations"))).drop("_lost")
+            out = marked(out, K.dangling(new, r.path, self.store.read(r.collection, manifest=manifest), r.target), f"{r.path} refers to no {r.collection}")
         unique = [["_id"]] + [i["paths"] for i in entry["indexes"].values() if i["unique"]]
         for paths in unique:
             keys = [C.as_text(Scope(new.schema).ref(p)) for p in paths]
             whole = F.lit(True)
             for k in keys:
                 whole = whole & k.isNotNull()
-            again = new.select(F.col("_id").alias("_b"), F.struct(*keys).alias("_k"), whole.alias("_w")).where("_w")
-            twice = again.groupBy("_k").agg(F.min("_b").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-            clash = again.join(twice, "_k").where("_b <> _first").select("_b")  # the first of equal keys may stay
+            again = new.select(ROW, F.struct(*keys).alias("_k"), whole.alias("_w")).where("_w")
+            twice = again.groupBy("_k").agg(F.min(ROW).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+            clash = again.join(twice, "_k").where(F.col(ROW) != F.col("_first")).select(ROW)  # the first of equal keys may stay
             if rest is not None:
-                clash = clash.unionByName(K.clashes(new, rest, paths).select(F.col("_id").alias("_b")))
-            out = out.join(clash.distinct(), F.col("_id") == F.col("_b"), "left").withColumn("_violations", F.when(F.col("_b").isNotNull(), F.array_append("_violations", F.lit(f"{', '.join(paths)} must be unique"))).otherwise(F.col("_violations"))).drop("_b")
+                clash = clash.unionByName(K.clashes(new, rest, paths).select(ROW))
+            out = marked(out, clash, f"{', '.join(paths)} must be unique")
         return out
 
     def _write(self, name: str, entry: dict, df: DataFrame) -> str:
-        sort = [p for i in entry["indexes"].values() for p in i["paths"] if p in df.columns]
-        return self.store.write_part(name, df, list(dict.fromkeys(sort)))
+        return self.store.write_part(name, df, index_paths(entry), entry.get("shard"))
+
+    def import_json(self, name: str, path: str, atomic: bool = True, checked: bool = True, multi_line: bool = False) -> QueryResult:
+        """Insert a file or folder of JSON lines, or with ``multi_line`` of JSON arrays, as ``insert`` does."""
+        return self.insert(name, documents.read_json(self.spark, path, multi_line=multi_line), atomic, checked)
 
     def insert(self, name: str, docs: object, atomic: bool = True, checked: bool = True) -> QueryResult:
         """Append documents. ``atomic``: all or none; else those that break no rule, and all the others' faults in ``df``.
-        ``ids`` of the result holds at most 1000, in no order; all are in the collection.
 
-        ``checked`` False is the untracked bulk path: no rules, no change log.
+        ``inserted`` of the result has the new ids as a frame. Files are cut and
+        sorted by the collection's indexes. ``checked`` False is the untracked
+        bulk path: no rules, no change log.
         """
         name = collection_name(name)
         new = self._stamped(self._as_frame(docs), checked)
@@ -248,29 +307,27 @@ class DocumentSession:
             entry = self._entry(manifest, name, new.schema)
             schema = M.widened(T.StructType.fromJson(json.loads(entry["schema"])), new.schema)
             old = self.store.read(name, manifest=manifest)
-            staged = self.store.write_part(name, M.aligned(new, schema))  # ids are drawn once
-            rows = self.spark.read.schema(schema).parquet(staged)
+            staged = self._write(name, entry, M.aligned(new, schema))  # ids are drawn once
             faults = None
             if checked:
-                judged = self._faults(name, entry, rows, old, manifest)
-                faults = judged.where(F.size("_violations") > 0).select("_id", "_violations")
-                faults = self.spark.read.schema(faults.schema).parquet(self.store.write_part(name, faults))  # one judgement, kept whole
+                rows = self._rows(staged, schema)
+                judged = self._faults(name, entry, rows, old, manifest).where(F.size(K.BROKEN) > 0).select("_id", ROW, K.BROKEN)
+                faults = self.spark.read.schema(judged.schema).parquet(self.store.write_part("_faults", judged))  # one judgement, kept whole
                 bad = bool(faults.limit(1).collect())
                 if bad and atomic:
-                    raise K.Violation("; ".join(sorted(r[0] for r in faults.select(F.explode("_violations")).distinct().collect())))
+                    raise K.Violation("; ".join(sorted(r[0] for r in faults.select(F.explode(K.BROKEN)).distinct().collect())))
                 if bad:
-                    rows = rows.join(faults.select("_id"), "_id", "left_anti").select(rows.columns)
-                    staged = self._write(name, entry, rows)
-                    rows = self.spark.read.schema(schema).parquet(staged)
-                    faults = faults.withColumnRenamed("_violations", "violations")
+                    staged = self._write(name, entry, rows.join(faults.select(ROW), ROW, "left_anti").drop(ROW))
+                faults = faults.select("_id", F.col(K.BROKEN).alias("violations"))
+            rows = self.store.load(schema, staged)
             if entry["schema"] != schema.json() and entry["parts"]:
                 entry["parts"] = [self._write(name, entry, M.aligned(old, schema))]
             entry["schema"] = schema.json()
             entry["parts"].append(staged)
-            seq = self.store.log(manifest["version"] + 1, manifest["seq"], [(name, "insert", self._log_rows(rows))]) if checked else manifest["seq"]
-            self.store.commit(manifest, manifest["collections"] | {name: entry}, seq)
+            log = self.store.log(manifest["version"] + 1, manifest["seq"], [(name, "insert", self._log_rows(rows))]) if checked else None
+            self.store.commit(manifest, manifest["collections"] | {name: entry}, log)
             n = rows.count()
-            return QueryResult(faults, n, f"{n} inserted", ids=[r["_id"] for r in rows.select("_id").limit(1000).collect()])
+            return QueryResult(faults, n, f"{n} inserted", inserted=rows.select("_id"))
 
         return self._retried(change)
 
@@ -279,8 +336,11 @@ class DocumentSession:
             raise TypeError("the session has no store to change")
         return self.store.retry(change)
 
-    def _rewrite(self, name: str, hit: Callable[[DataFrame], Column], new_image: Callable[[DataFrame], DataFrame], op: str) -> QueryResult:
-        """Copy on write: parts that hold a document that is hit are written anew, the others stay."""
+    def _rewrite(self, name: str, hit: Callable[[DataFrame], Column], new_image: Callable[[DataFrame], DataFrame]) -> QueryResult:
+        """Copy on write: the parts that hold a document that is hit, found in one pass, are written anew as one; the others stay.
+
+        Where a field becomes wider the others are written with it.
+        """
         name = collection_name(name)
 
         def change(manifest: dict) -> QueryResult:
@@ -288,47 +348,35 @@ class DocumentSession:
             if not entry["parts"]:
                 return QueryResult(message="0 affected")
             schema = T.StructType.fromJson(json.loads(entry["schema"]))
-            parts, affected = [], 0
-            touched: list[DataFrame] = []
-            for part in entry["parts"]:
-                df = self.spark.read.schema(schema).parquet(part)
-                n = df.filter(hit(df)).count()
-                affected += n
-                if not n:
-                    parts.append(part)
-                    continue
-                marked = df.withColumn("_hit_", hit(df))
-                image = new_image(marked) if op != "delete" else marked.where("not _hit_")
-                if op == "update":
-                    image = image.withColumn("_etag", F.when(F.col("_hit_"), F.expr("replace(uuid(), '-', '')")).otherwise(F.col("_etag"))) if "_etag" in image.columns else image
-                    kept = self.store.write_part(name, image)
-                    image = self.spark.read.parquet(kept)
-                    touched.append(image.where("_hit_").drop("_hit_"))
-                else:
-                    touched.append(marked.where("_hit_").drop("_hit_"))
-                parts.append(image.drop("_hit_"))
-            if not affected:
+            df = self.store.rows(entry)
+            part = F.regexp_extract(F.col("_metadata.file_path"), "/([0-9a-f]{32})/(?!.*/[0-9a-f]{32}/)", 1)
+            counts = {r["part"]: r["count"] for r in df.where(hit(df)).select(part.alias("part")).groupBy("part").count().collect()}
+            if not counts:
                 return QueryResult(message="0 affected")
-            wide = schema
-            for p in parts:
-                wide = M.widened(wide, p.schema) if isinstance(p, DataFrame) else wide
-            rows = None
-            for t in touched:
-                rows = M.aligned(t, wide) if rows is None else rows.unionByName(M.aligned(t, wide))
-            if op == "update":
-                rest = None
-                for p in parts:
-                    d = M.aligned(self.spark.read.schema(schema).parquet(p) if isinstance(p, str) else p, wide)
-                    rest = d if rest is None else rest.unionByName(d)
-                rest = rest.join(rows.select("_id"), "_id", "left_anti") if "_id" in rest.columns else None
-                bad = self._faults(name, entry, rows, rest, manifest).where(F.size("_violations") > 0).select("_violations").limit(100).collect()
-                if bad:
-                    raise K.Violation("; ".join(sorted({v for r in bad for v in r["_violations"]})))
-            entry["parts"] = [p if isinstance(p, str) and wide == schema else self._write(name, entry, M.aligned(self.spark.read.schema(schema).parquet(p) if isinstance(p, str) else p, wide)) for p in parts]
-            entry["schema"] = wide.json()
-            seq = self.store.log(manifest["version"] + 1, manifest["seq"], [(name, op, self._log_rows(rows))])
-            self.store.commit(manifest, manifest["collections"] | {name: entry}, seq)
-            return QueryResult(affected=affected, message=f"{affected} affected")
+            touched = [p for p in entry["parts"] if p.rsplit("/", 1)[-1] in counts]
+            others = [p for p in entry["parts"] if p not in touched]
+            old = self.store.rows(entry | {"parts": touched})
+            image = new_image(old.withColumn(HIT, hit(old)))
+            if "_etag" in image.columns:
+                image = image.withColumn("_etag", F.when(F.col(HIT), F.expr("replace(uuid(), '-', '')")).otherwise(F.col("_etag")))
+            kind = image.drop(HIT).schema
+            kept = self.store.write_part(name, image)  # versions are drawn once
+            rows = self._rows(kept, image.schema)
+            new = rows.where(HIT).drop(HIT)
+            rest = rows.where(f"not {HIT}").drop(HIT, ROW)
+            if others:
+                rest = M.aligned(self.store.rows(entry | {"parts": others}), kind).unionByName(rest)
+            bad = self._faults(name, entry, new, rest, manifest).where(F.size(K.BROKEN) > 0).select(F.explode(K.BROKEN)).distinct().collect()
+            if bad:
+                raise K.Violation("; ".join(sorted(r[0] for r in bad)))
+            if kind != schema and others:
+                others = [self._write(name, entry, M.aligned(self.store.rows(entry | {"parts": others}), kind))]
+            entry["parts"] = [*others, self._write(name, entry, rows.drop(HIT, ROW))]
+            entry["schema"] = kind.json()
+            log = self.store.log(manifest["version"] + 1, manifest["seq"], [(name, "update", self._log_rows(new.drop(ROW)))])
+            self.store.commit(manifest, manifest["collections"] | {name: entry}, log)
+            n = sum(counts.values())
+            return QueryResult(affected=n, message=f"{n} affected")
 
         return self._retried(change)
 
@@ -342,11 +390,9 @@ class DocumentSession:
                 return QueryResult(message="0 affected")
             rules = {n: K.Rules.from_json(e["rules"]) for n, e in entries.items() if e["rules"]}
             frames = {n: self.store.read(n, manifest=manifest) for n in entries}
-            scratch: list[str] = []
 
             def written(df: DataFrame) -> DataFrame:
                 path = self.store.write_part("_scratch", df)
-                scratch.append(path)
                 return self.spark.read.schema(df.schema).parquet(path)
 
             plan = K.plan_delete(frames, rules, name, frames[name].filter(hit(frames[name])).select("_id"), written)
@@ -362,42 +408,68 @@ class DocumentSession:
                 frames[n] = frames[n].join(ids, "_id", "left_anti").select(frames[n].columns)
                 entries[n]["parts"] = None
             for n, path, keys in plan.nulled:
-                held = frames[n].withColumn("_ref", C.as_text(Scope(frames[n].schema).ref(path))).join(keys, F.col("_ref") == F.col("_parent"), "left")
-                frames[n] = M.assign(held, path, F.lit(None), F.col("_parent").isNotNull()).drop("_ref", "_parent")
+                held = frames[n].withColumn(f"{INTERNAL}ref", C.as_text(Scope(frames[n].schema).ref(path))).join(keys, F.col(f"{INTERNAL}ref") == F.col(K.PARENT), "left")
+                frames[n] = M.assign(held, path, F.lit(None), F.col(K.PARENT).isNotNull()).drop(f"{INTERNAL}ref", K.PARENT)
                 entries[n]["parts"] = None
             if not affected:
                 return QueryResult(message="0 affected")
             for n, e in entries.items():
                 if e["parts"] is None:
                     e["parts"] = [self._write(n, e, frames[n])]
-            seq = self.store.log(manifest["version"] + 1, manifest["seq"], changes)
-            self.store.commit(manifest, manifest["collections"] | entries, seq)
+            log = self.store.log(manifest["version"] + 1, manifest["seq"], changes)
+            self.store.commit(manifest, manifest["collections"] | entries, log)
             return QueryResult(affected=affected, message=f"{affected} affected")
 
         return self._retried(change)
 
     def replace(self, name: str, key: str, doc: dict, etag: str | None = None) -> QueryResult:
         """Replace a document, which keeps its id; with ``etag`` only that version of it."""
-        df = self.find(name)
-        if df is None:
-            return QueryResult(message="0 affected")
-        old = df.filter(F.col("_id") == key).limit(1).collect()
-        if not old:
+        if self.find(name) is None:
             return QueryResult(message="0 affected")
-        if etag is not None and old[0]["_etag"] != etag:
-            raise EtagMismatch(f"{key} has changed")
-        fields = {c: None for c in df.columns if c not in ("_id", "_etag")} | {k: v for k, v in doc.items() if k not in ("_id", "_etag")}
-        return self.patch(name, fields, [("_id", "Eq", key)] + ([("_etag", "Eq", etag)] if etag else []))
+        new = {k: v for k, v in doc.items() if k not in ("_id", "_etag")}
+        sets = [(k, "Set", v) if v is not None else (k, "Unset") for k, v in new.items()]
+        return self._versioned(name, key, etag, lambda df: [(c, "Unset") for c in df.columns if c not in ("_id", "_etag", HIT, *new)] + sets)
 
     def update_if(self, name: str, conditions: list[tuple], mutations: list[tuple]) -> QueryResult:
         """Apply mutations to the documents for which all conditions hold, tested and written in one commit."""
-        return self._rewrite(name, lambda df: M.holds(df, conditions), lambda df: M.mutate(df, mutations, F.col("_hit_")), "update")
+        return self._rewrite(name, lambda df: M.holds(df, conditions), lambda df: M.mutate(df, mutations, F.col(HIT)))
 
     def patch(self, name: str, patch: dict, conditions: list[tuple]) -> QueryResult:
-        return self._rewrite(name, lambda df: M.holds(df, conditions), lambda df: M.merge_patch(df, patch, F.col("_hit_")), "update")
+        """Apply a merge document, or ``{"$ops": [...]}``, to the documents for which all conditions hold."""
+        return self.update_if(name, conditions, M.patch_operations(patch))
+
+    def patch_by_id(self, name: str, key: str, patch: dict, etag: str | None = None) -> QueryResult:
+        """Patch a document; with ``etag`` only that version of it."""
+        operations = M.patch_operations(patch)
+        return self._versioned(name, key, etag, lambda df: operations)
+
+    def _first_key(self, name: str, path: str, value: str) -> str | None:
+        """The id of the first document whose field's text is ``value``: by id, where several have it."""
+        df = self._there(name)
+        return df.where(C.as_text(build.scope_of(df).ref(path)) == str(value)).agg(F.min("_id")).first()[0]
+
+    def replace_by(self, name: str, path: str, value: str, doc: dict) -> QueryResult:
+        key = self._first_key(name, path, value)
+        return QueryResult(message="0 affected") if key is None else self.replace(name, key, doc)
+
+    def patch_by(self, name: str, path: str, value: str, patch: dict, etag: str | None = None) -> QueryResult:
+        operations = M.patch_operations(patch)
+        key = self._first_key(name, path, value)
+        return QueryResult(message="0 affected") if key is None else self._versioned(name, key, etag, lambda df: operations)
+
+    def delete_by(self, name: str, path: str, value: str) -> QueryResult:
+        key = self._first_key(name, path, value)
+        return QueryResult(message="0 affected") if key is None else self.delete(name, lambda df: F.col("_id") == key)
+
+    def _versioned(self, name: str, key: str, etag: str | None, operations: Callable[[DataFrame], list[tuple]]) -> QueryResult:
+        conditions = [("_id", "Eq", key)] + ([("_etag", "Eq", etag)] if etag is not None else [])
+        out = self._rewrite(name, lambda df: M.holds(df, conditions), lambda df: M.mutate(df, operations(df), F.col(HIT)))
+        if not out.affected and etag is not None and not self.find_by_id(name, key).isEmpty():
+            raise EtagMismatch(f"{key} has changed")
+        return out
 
     def bulk_update(self, name: str, path: str, old: object, set_path: str, new: object) -> QueryResult:
-        return self._rewrite(name, lambda df: F.coalesce(C.compare(Scope(df.schema).ref(path), "=", old), F.lit(False)), lambda df: M.assign(df, set_path, F.lit(new), F.col("_hit_")), "update")
+        return self._rewrite(name, lambda df: F.coalesce(C.compare(Scope(df.schema).ref(path), "=", old), F.lit(False)), lambda df: M.assign(df, set_path, M.literal(new, Scope(df.schema).ref(set_path).kind), F.col(HIT)))
 
     def batch(self, ops: list[tuple]) -> QueryResult:
         """(insert|replace|delete|deleteByField, collection, ...) in one transaction."""
@@ -436,6 +508,41 @@ class DocumentSession:
 
         return self._define(name, drop)
 
+    def rebuild_index(self, index: str, name: str) -> QueryResult:
+        """Test a unique index again and write the collection's files anew, cut and sorted by this index before the others."""
+
+        def run(entry: dict, manifest: dict) -> None:
+            one = entry["indexes"].get(index.lower())
+            if one is None:
+                raise KeyError(f"there is no index {index} on {name}")
+            if not entry["parts"]:
+                return
+            df = self.store.rows(entry)
+            if one["unique"] and not K.duplicates(df, one["paths"]).isEmpty():
+                raise K.Violation(f"{', '.join(one['paths'])} isn't unique in {name}")
+            entry["indexes"] = {index.lower(): one} | entry["indexes"]
+            entry["parts"] = [self._write(collection_name(name), entry, df)]
+
+        return self._define(name, run)
+
+    def set_shard_key(self, name: str, path: str, shards: int) -> QueryResult:
+        """Lay a collection out by a key: a folder for each of ``shards`` hash values, of which a query that fixes the key reads
+        its own. On a collection that is laid out already this moves what has to move: readers of older versions aren't
+        disturbed, as their files stay until a vacuum, and the new layout is there at once for all others."""
+        if shards < 1:
+            raise ValueError("at least one shard")
+
+        def run(entry: dict, manifest: dict) -> None:
+            df = self.store.rows(entry)
+            entry["shard"] = {"path": path, "shards": shards}
+            entry["parts"] = [self._write(collection_name(name), entry, df)] if entry["parts"] else []
+
+        return self._define(name, run)
+
+    def set_replicated(self, name: str, on: bool = True) -> QueryResult:
+        """A collection that every executor gets whole in a join, as long as its files are ``REPLICATED_BYTES`` at most."""
+        return self._define(name, lambda e, _: e.update(replicated=on))
+
     def set_rules(self, name: str, rules: K.Rules) -> QueryResult:
         return self._define(name, lambda e, _: e.update(rules=rules.to_json()))
 
@@ -476,7 +583,7 @@ class Transaction:
         self.session, self.store = session, session.store
         self.base = self.store.manifest()
         self.added: dict[str, list[DataFrame]] = {}
-        self.gone: dict[str, list[Column]] = {}
+        self.gone: dict[str, list[Callable[[DataFrame], Column]]] = {}
         self.over = False
 
     def __enter__(self) -> Transaction:
@@ -486,39 +593,42 @@ class Transaction:
         if not self.over:
             self.rollback()
 
-    def insert(self, name: str, docs: object) -> list[str]:
-        """Stage documents; gives at most 1000 of their ids, in no order: ``read`` has all."""
+    def insert(self, name: str, docs: object) -> DataFrame:
+        """Stage documents; gives their ids as a frame."""
         name = collection_name(name)
         df = self.session._stamped(self.session._as_frame(docs))
         path = self.store.write_part(name, df)
-        rows = self.session.spark.read.schema(df.schema).parquet(path)
+        rows = self.session._rows(path, df.schema)
         self.added.setdefault(name, []).append(rows)
-        return [r["_id"] for r in rows.select("_id").limit(1000).collect()]
+        return rows.select("_id")
 
     def delete(self, name: str, key: str) -> None:
-        self._remove(name, F.col("_id") == key)
+        self._remove(name, lambda df: F.col("_id") == key)
 
     def delete_by(self, name: str, path: str, value: str) -> None:
-        df = self.read(name)
-        self._remove(name, C.as_text(Scope(df.schema).ref(path)) == str(value))
+        self._remove(name, lambda df: C.as_text(Scope(df.schema).ref(path)) == str(value))
 
     def replace(self, name: str, key: str, doc: dict) -> None:
         self.delete(name, key)
         self.insert(name, [{k: v for k, v in doc.items() if k != "_etag"} | {"_id": key}])
 
-    def _remove(self, name: str, hit: Column) -> None:
+    def _remove(self, name: str, test: Callable[[DataFrame], Column]) -> None:
         name = collection_name(name)
-        hit = F.coalesce(hit, F.lit(False))
+
+        def hit(df: DataFrame) -> Column:
+            return F.coalesce(test(df), F.lit(False))
+
         self.gone.setdefault(name, []).append(hit)
-        self.added[name] = [d.filter(~hit) for d in self.added.get(name, [])]
+        self.added[name] = [d.filter(~hit(d)) for d in self.added.get(name, [])]
 
     def read(self, name: str) -> DataFrame | None:
         """The collection as this transaction sees it."""
         name = collection_name(name)
         df = self.store.read(name, manifest=self.base)
         for hit in self.gone.get(name, []):
-            df = df.filter(~hit) if df is not None else None
+            df = df.filter(~hit(df)) if df is not None else None
         for d in self.added.get(name, []):
+            d = d.drop(ROW)
             schema = d.schema if df is None else M.widened(df.schema, d.schema)
             df = M.aligned(d, schema) if df is None else M.aligned(df, schema).unionByName(M.aligned(d, schema))
         return df
@@ -535,23 +645,24 @@ class Transaction:
             old = self.store.read(name, manifest=self.base)
             for hit in self.gone.get(name, []):
                 if old is not None:
-                    gone = old.filter(hit)
+                    gone = old.filter(hit(old))
                     affected += gone.count()
                     changes.append((name, "delete", self.session._log_rows(gone)))
-                    old = old.filter(~hit)
+                    old = old.filter(~hit(old))
             for d in self.added.get(name, []):
-                rows = M.aligned(d, df.schema)
-                bad = self.session._faults(name, entry, rows, old, self.base).where(F.size("_violations") > 0).limit(100).collect()
+                rows = M.aligned(d, T.StructType([*df.schema.fields, d.schema[ROW]]))
+                bad = self.session._faults(name, entry, rows, old, self.base).where(F.size(K.BROKEN) > 0).select(F.explode(K.BROKEN)).distinct().collect()
                 if bad:
-                    raise K.Violation("; ".join(sorted({v for r in bad for v in r["_violations"]})))
+                    raise K.Violation("; ".join(sorted(r[0] for r in bad)))
+                rows = rows.drop(ROW)
                 affected += rows.count()
                 changes.append((name, "insert", self.session._log_rows(rows)))
                 old = rows if old is None else M.aligned(old, df.schema).unionByName(rows)
             entry["parts"] = [self.session._write(name, entry, df)]
             entry["schema"] = df.schema.json()
             collections[name] = entry
-        seq = self.store.log(self.base["version"] + 1, self.base["seq"], changes)
-        self.store.commit(self.base, collections, seq)
+        log = self.store.log(self.base["version"] + 1, self.base["seq"], changes)
+        self.store.commit(self.base, collections, log)
         return QueryResult(affected=affected, message=f"{affected} affected")
 
     def rollback(self) -> None:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VARIANT = "_doc"
+#: Strings of this form are moments; a day without a time stays text.
+MOMENT = "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSSSSS][.SSSSSSS][.SSSSSS][.SSS][XXX]"
 
 
 def from_lines(lines: DataFrame, schema: str | T.StructType | None = None, mode: str = "auto") -> DataFrame:
@@ -27,16 +29,23 @@ def from_lines(lines: DataFrame, schema: str | T.StructType | None = None, mode:
         mode = "variant" if "VARIANT" in kind or not kind.startswith("OBJECT") else "typed"
     if mode == "variant":
         return lines.select(F.parse_json(column).alias(VARIANT))
-    spark = lines.sparkSession
     if schema is None:
-        schema = spark.read.option("inferTimestamp", "true").json(lines.rdd.map(lambda r: r[0])).schema
+        schema = _inferred(lines.select(column.alias("value")))
     return lines.select(F.from_json(column, schema, {"mode": "FAILFAST"}).alias("d")).select("d.*")
 
 
+def _inferred(lines: DataFrame) -> T.StructType:
+    """The types of JSON texts, found in the JVM."""
+    spark = lines.sparkSession
+    texts = getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    reader = spark._jsparkSession.read().option("inferTimestamp", "true").option("timestampFormat", MOMENT)
+    return T.StructType.fromJson(json.loads(reader.json(texts).schema().json()))
+
+
 def read_json(spark: SparkSession, path: str, schema: str | T.StructType | None = None, mode: str = "auto", multi_line: bool = False) -> DataFrame:
     """A file or folder of JSON lines, or with ``multi_line`` of JSON arrays."""
     if multi_line:
-        reader = spark.read.option("multiLine", "true")
+        reader = spark.read.option("multiLine", "true").option("inferTimestamp", "true").option("timestampFormat", MOMENT)
         return (reader.schema(schema) if schema else reader).json(path)
     return from_lines(spark.read.text(path), schema, mode)
 

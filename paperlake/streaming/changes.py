@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.paths import Scope
-from ..sources.store import CHANGES
+from ..sources.store import CHANGES, Store
 
 
 def read_changes(spark: SparkSession, root: str) -> DataFrame:
-    """The change log of a store as a stream; offsets are the checkpoint's."""
+    """The change log of a store as a stream; offsets are the checkpoint's. Only committed changes are ever in the log."""
+    Store(spark, root).publish()
     return spark.readStream.schema(CHANGES).option("recursiveFileLookup", "true").parquet(f"{root.rstrip('/')}/_changes")
 
 
@@ -57,6 +58,12 @@ def expired(df: DataFrame, field: str, now: Column) -> Column:
     return F.coalesce(due, F.lit(False))
 
 
+def sweep_every(spark: SparkSession, sweep: Callable[[], int], interval: str, checkpoint: str):
+    """Start a query that calls ``sweep`` - a session's - at every interval until it is stopped."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", "1").load()
+    return ticks.writeStream.foreachBatch(lambda df, number: sweep()).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+
+
 def windowed_counts(stream: DataFrame, time: str, width: str, late: str, by: list[str]) -> DataFrame:
     """Counts per tumbling window and keys; what comes later than ``late`` behind the stream is left out."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count(F.lit(1)).alias("count"))

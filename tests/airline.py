@@ -1,0 +1,40 @@
+"""Nested bookings and flights by a rule from their number, for tests: the same documents wherever they are made."""
+
+import random
+
+AIRPORTS = ["OSL", "CPH", "ARN", "HEL", "LHR", "CDG", "FRA", "AMS"]
+STATES = ["CONFIRMED", "TICKETED", "CANCELLED"]
+NAMES = ["Berg", "Dahl", "Haugen", "Lund", "Moen", "Strand"]
+
+
+def flight(i):
+    """A flight of one day, its seats by cabin."""
+    r = random.Random(f"flight {i}")
+    a, b = r.sample(AIRPORTS, 2)
+    seats = {cabin: {"total": n, "sold": (sold := r.randint(0, n)), "available": n - sold} for cabin, n in (("FIRST", 8), ("BUSINESS", 30), ("ECONOMY", 160))}
+    return {
+        "_id": f"f{i}", "flightNumber": f"XY{100 + i}", "operatingDate": f"2026-05-{1 + i % 28:02d}", "departureAirport": a, "arrivalAirport": b,
+        "scheduledDeparture": f"2026-05-{1 + i % 28:02d}T08:00:00", "scheduledArrival": f"2026-05-{1 + i % 28:02d}T11:00:00",
+        "aircraft": {"type": r.choice(["A320", "B738"]), "registration": f"LN-{i:03d}"}, "capacity": seats, "status": "SCHEDULED",
+    }
+
+
+def booking(i):
+    """A booking of one or two flights with a ticket for each; some have no payment and no remarks."""
+    r = random.Random(f"booking {i}")
+    name, way = r.choice(NAMES), r.sample(AIRPORTS, 3)
+    legs = [
+        {"segmentId": k + 1, "flightNumber": f"XY{100 + r.randint(0, 19)}", "airline": "XY", "departureAirport": way[k], "arrivalAirport": way[k + 1],
+         "departureTime": f"2026-05-{1 + i % 28:02d}T{8 + 6 * k:02d}:00:00", "arrivalTime": f"2026-05-{1 + i % 28:02d}T{11 + 6 * k:02d}:00:00", "cabin": r.choice(["ECONOMY", "BUSINESS"]), "status": "HK", "aircraft": "A320"}
+        for k in range(r.randint(1, 2))
+    ]
+    base = [round(r.uniform(50, 900), 2) for _ in legs]
+    total = round(sum(1.2 * b for b in base), 2)
+    return {
+        "_id": f"b{i}", "pnr": f"PN{i:04d}", "status": r.choice(STATES), "createdAt": f"2026-04-{1 + i % 30:02d}T10:00:00",
+        "passenger": {"firstName": "A", "lastName": name, "email": f"{name.lower()}{i}@example.org", "phone": "1", "dateOfBirth": "1980-01-01"},
+        "flights": legs,
+        "tickets": [{"ticketNumber": f"{i}-{k}", "passengerName": name, "fare": {"baseFare": b, "taxes": round(0.2 * b, 2), "total": round(1.2 * b, 2), "currency": "EUR"}} for k, b in enumerate(base)],
+        "payment": None if i % 7 == 0 else {"method": r.choice(["CARD", "CASH"]), "last4": "1111", "amount": total, "currency": "EUR", "status": "PAID"},
+        "remarks": [] if i % 5 == 0 else [{"type": "SSR", "code": r.choice(["WCHR", "VGML"]), "text": "", "segment": 1}],
+    }

@@ -86,7 +86,7 @@ def test_schemaless(s):
     assert s.query("SELECT SUM(v), COUNT(v) FROM mixed").collect()[0].asDict() == {"SUM(v)": 12.0, "COUNT(v)": 6}
 
 
-@pytest.mark.parametrize("text", ["SELECT a FROM", "SELECT a FROM b c", "SELECT a FROM b WHERE a = 1 x", "SELECT SUM(*) FROM b", "FOO", "INSERT INTO a (x, y) VALUES (1)", "SELECT 1 FROM a", "SELECT a FROM b LIMIT -1", "DROP INDEX x"])
+@pytest.mark.parametrize("text", ["SELECT a FROM", "SELECT a FROM b c d", "SELECT a FROM b WHERE a = 1 x", "SELECT SUM(*) FROM b", "FOO", "INSERT INTO a (x, y) VALUES (1)", "SELECT 1 FROM a", "SELECT a FROM b LIMIT -1", "DROP INDEX x"])
 def test_errors(text):
     with pytest.raises(ParseError):
         parse(text)
