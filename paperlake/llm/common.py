@@ -52,6 +52,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until the frame has no column called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def split_number(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``; null for a null key."""
     return F.crc32(key.cast("string")) % F.lit(modulus)

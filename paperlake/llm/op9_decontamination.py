@@ -5,8 +5,10 @@ that a segment has against itself, so that one threshold fits all. Postings are
 kept in blocks of segments with each term's largest impact; a passage adds up
 those bounds and only blocks that can reach the threshold are scored. What is
 retrieved is verified by the shingles of question and answer that the document
-has thereabouts. The index is of the test items alone and is broadcast after a
-check of its size; larger benchmarks are taken in parts, one pass each.
+has thereabouts. The index is of the test items alone and is cut into parts of
+bounded size. As many as a bound of bytes allows are broadcast at once, of which
+a worker has one loaded at a time; more are taken in further passes, with the
+matches so far written in between.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import slices, table
+from .common import free_name, materialise, slices, table
 
 #: Words of a segment; passages have twice as many and overlap by half, so a segment's words stand in one passage.
 SEGMENT = 64
@@ -36,8 +38,10 @@ SHINGLE = 5
 BLOCK = 8
 #: Postings, and bounds of blocks, in hand at once.
 POSTINGS = 1 << 21
-#: Characters of test items in one index.
-INDEX_CHARS = 16 << 20
+#: Characters of test items in one part of the index, and bytes of the parts that are broadcast at once; one part at least.
+INDEX_CHARS, SENT_BYTES = 2 << 20, 64 << 20
+#: Items whose shingles a worker keeps.
+KEPT_ITEMS = 4096
 
 _WORDS = re.compile(r"\w+").findall
 MATCHES = "array<struct<item_id:bigint,bm25:double,overlap:double,answer_overlap:double,first_word:bigint>>"
@@ -51,7 +55,7 @@ def words_of(text: str) -> list[str]:
 class Index:
     """Postings of terms: those of term t lie from ptr[t] to ptr[t + 1], each a block of segments with the
     impacts of its segments and the largest of them. The last term has none: it stands for all other words.
-    ``items`` has what verification needs."""
+    ``items`` has the items' ids and words; what verification needs is made of the words when an item is first retrieved."""
 
     terms: dict[str, int]
     ptr: np.ndarray
@@ -60,7 +64,18 @@ class Index:
     bounds: np.ndarray
     blocks: int
     item: np.ndarray
-    items: list[tuple[int, set, Counter, int]]
+    items: list[tuple[int, str]]
+    facts: dict[int, tuple[int, set, Counter, int]] = field(default_factory=dict, repr=False)
+
+    def fact(self, k: int) -> tuple[int, set, Counter, int]:
+        """An item's id, shingles, words of the answer and number of words."""
+        if k not in self.facts:
+            if len(self.facts) >= KEPT_ITEMS:
+                self.facts.clear()
+            item_id, text = self.items[k]
+            words = text.split(" ")
+            self.facts[k] = (item_id, shingles(words), Counter(question_and_answer(words)[1]), len(words))
+        return self.facts[k]
 
 
 def question_and_answer(words: list[str]) -> tuple[list[str], list[str]]:
@@ -88,24 +103,21 @@ def build(items: list[tuple[int, str]]) -> Index:
     n = len(segments)
     df = Counter(t for s in segments for t in s)
     mean = sum(map(Counter.total, segments)) / max(n, 1)
-    cells: list[tuple[int, int, float]] = []
+    term, segment, impact = [], [], []
     for k, s in enumerate(segments):
         size = s.total()
         own = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * size / mean)) for t, c in s.items()}
         whole = sum(own.values())
-        cells += [(terms[t], k, v / whole) for t, v in own.items()]
-    term = np.array([x[0] for x in cells], dtype=np.int64)
-    segment = np.array([x[1] for x in cells], dtype=np.int64)
+        term += [terms[t] for t in own]
+        segment += [k] * len(own)
+        impact += [v / whole for v in own.values()]
+    term, segment = np.array(term, dtype=np.int64), np.array(segment, dtype=np.int64)
     blocks = -(-n // BLOCK)
     key, at = np.unique(term * max(blocks, 1) + segment // BLOCK, return_inverse=True)
     impacts = np.zeros((len(key), BLOCK), dtype=np.float32)
-    impacts[at, segment % BLOCK] = [x[2] for x in cells]
+    impacts[at, segment % BLOCK] = impact
     ptr = np.searchsorted(key, np.arange(len(terms) + 2) * max(blocks, 1))
-    facts = []
-    for i, words in kept:
-        _, answer = question_and_answer(words)
-        facts.append((i, shingles(words), Counter(answer), len(words)))
-    return Index(terms, ptr, key % max(blocks, 1), impacts, impacts.max(1, initial=0), blocks, np.array(owner, dtype=np.int64), facts)
+    return Index(terms, ptr, (key % max(blocks, 1)).astype(np.int32), impacts, impacts.max(1, initial=0), blocks, np.array(owner, dtype=np.int64), [(i, " ".join(words)) for i, words in kept])
 
 
 def retrieved(index: Index, passage: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, int, float]]:
@@ -175,7 +187,7 @@ def matches(index: Index, texts: list[str]) -> list[list[tuple[int, float, float
         doc = int(doc_of[p])
         found.setdefault((doc, int(index.item[segment])), []).append((int(p - base[doc]) * SEGMENT, score))
     for (doc, item), hits in sorted(found.items()):
-        out_row = verify(index.items[item], words[doc], hits)
+        out_row = verify(index.fact(item), words[doc], hits)
         if out_row:
             out[doc].append(out_row)
     return out
@@ -201,14 +213,17 @@ def verify(fact: tuple[int, set, Counter, int], words: list[str], hits: list[tup
 def _search(sent):
     @arrow_udf(MATCHES)
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = pickle.loads(sent.value)
         names = ("item_id", "bm25", "overlap", "answer_overlap", "first_word")
         kind = pa.list_(pa.struct([(n, pa.int64() if n in ("item_id", "first_word") else pa.float64()) for n in names]))
+        only = pickle.loads(sent.value[0]) if len(sent.value) == 1 else None
         for batch in batches:
-            rows: list = []
-            for a, b in slices(len(batch), 64):
-                got = matches(index, [t or "" for t in batch.slice(a, b - a).to_pylist()])
-                rows += [[dict(zip(names, m, strict=True)) for m in x] for x in got]
+            rows: list[list] = [[] for _ in range(len(batch))]
+            for part in sent.value:
+                index = only or pickle.loads(part)
+                for a, b in slices(len(batch), 64):
+                    for i, got in enumerate(matches(index, [t or "" for t in batch.slice(a, b - a).to_pylist()])):
+                        rows[a + i] += [dict(zip(names, m, strict=True)) for m in got]
+                del index
             yield pa.array(rows, kind)
 
     return search
@@ -217,22 +232,28 @@ def _search(sent):
 def with_matches(docs: DataFrame, items: DataFrame, text: str = "text", into: str = "_matches") -> DataFrame:
     """Add array ``into`` of verified items for the whole text of each row; null and empty texts have none.
 
-    ``items``: item_id and text; those with a null id or text are left out. The
-    index is bounded by ``INDEX_CHARS``; the items beyond make further indexes,
-    and the documents pass each.
+    ``items``: item_id and text; those with a null id or text are left out. Items
+    are dealt by hash over parts of about ``INDEX_CHARS``.
     """
     spark = docs.sparkSession
     usable = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = usable.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-int(total) // INDEX_CHARS))
-    columns = []
-    out = docs
+    out, columns, held, size = docs, [], [], 0
+
+    def searched(out: DataFrame) -> DataFrame:
+        columns.append(free_name(out, f"{into}{len(columns)}"))
+        return out.withColumn(columns[-1], _search(spark.sparkContext.broadcast(held)).asNondeterministic()(F.col(text)))
+
     for k in range(parts):
         rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        sent = spark.sparkContext.broadcast(pickle.dumps(build([(r["item_id"], r["text"]) for r in rows])))
-        columns.append(f"{into}{k}" if parts > 1 else into)
-        out = out.withColumn(columns[-1], _search(sent).asNondeterministic()(F.col(text)))
-    return out if parts == 1 else out.withColumn(into, F.flatten(F.array(*columns))).drop(*columns)
+        part = pickle.dumps(build([(r["item_id"], r["text"]) for r in rows]))
+        if held and size + len(part) > SENT_BYTES:
+            out, held, size = materialise(searched(out), "matches"), [], 0
+        held.append(part)
+        size += len(part)
+    out = searched(out)
+    return out.withColumn(into, F.flatten(F.array(*columns)) if len(columns) > 1 else F.col(columns[0])).drop(*columns)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
+import pickle
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -128,13 +130,28 @@ def test_odd_rows(spark):
     assert got == Counter([(3, 1), (3, 2), (3, 1), (3, 2), (None, 1), (None, 2), (5, 1), (5, 2), (6, 6)])
 
 
-def test_a_large_benchmark_is_taken_in_parts(spark, monkeypatch):
+@pytest.mark.parametrize("sent", [1, 10**9])
+def test_a_large_benchmark_is_taken_in_parts(spark, monkeypatch, sent):
+    """Parts together in one pass, or one part a pass."""
     monkeypatch.setattr(op, "INDEX_CHARS", 400)
+    monkeypatch.setattr(op, "SENT_BYTES", sent)
     items = spark.createDataFrame(ITEMS[2:8], "item_id long, text string")
     docs = spark.createDataFrame([(i, f"{prose(70)} {t}") for i, t in ITEMS[2:8]] + [(99, prose(80))], "doc_id long, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in op.contaminated(docs, items).collect()) == [(i, i) for i in range(2, 8)]
 
 
+def test_a_part_of_the_index_is_small_in_memory():
+    """A part of full size: what a worker has loaded stays within a few hundred MB."""
+    rng = np.random.default_rng(0)
+    words = ["".join(x) for x in rng.choice(list("abcdefghij"), (60_000, 6))]
+    items = [(i, " ".join(rng.choice(words, 90))) for i in range(op.INDEX_CHARS // 630)]
+    tracemalloc.start()
+    index = op.build(items)
+    built = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pickle.dumps(index)) < 48 << 20 and built < 400 << 20
+
+
 def test_empty_tables(spark):
     items, docs = spark.createDataFrame(ITEMS, "item_id long, text string"), spark.createDataFrame([(1, ITEMS[4][1])], "doc_id long, text string")
     assert op.contaminated(docs.limit(0), items).collect() == [] and op.contaminated(docs, items.limit(0)).collect() == []
