@@ -18,6 +18,8 @@ from .common import is_held_out, slices, table
 
 #: Expected number of documents of each language that the model is fitted on, those with the lowest hashes.
 FIT_DOCS = 1000
+#: Languages that are learned, those of the most documents, and words of languages, the most frequent.
+FIT_LANGS, FIT_WORDS = 1000, 1_000_000
 LONGEST = 4
 #: Log penalty of each step to a shorter n-gram.
 BACK_OFF = float(np.log(0.4))
@@ -44,13 +46,18 @@ def _table(counts: list[Counter], least: int) -> tuple[list[str], np.ndarray]:
 
 def train(rows: list[tuple[str, str]]) -> Model:
     """From (text, lang) pairs."""
-    langs = sorted({lang for _, lang in rows})
+    words: dict[str, Counter] = {}
+    for text, lang in rows:
+        words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+    return of_counts(words)
+
+
+def of_counts(counted: dict[str, Counter]) -> Model:
+    """From the counts of words of each language."""
+    langs = sorted(counted)
     if not langs:
         return Model([], {}, {}, np.zeros((0, 0)))
-    place = {lang: i for i, lang in enumerate(langs)}
-    words = [Counter() for _ in langs]
-    for text, lang in rows:
-        words[place[lang]].update(LETTERS.findall(text.lower()))
+    words = [counted[lang] for lang in langs]
     grams = [[Counter() for _ in langs] for _ in range(LONGEST)]
     for i, counts in enumerate(words):
         for w, c in counts.items():
@@ -150,15 +157,35 @@ class Identifier:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit on about ``FIT_DOCS`` documents of each language (all of a rarer one) outside the test fold, by a hash of the key."""
-    rows = docs.where(~is_held_out(F.col(key), 4, 2) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return train([])
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, FIT_DOCS / n)))])
-    low = F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.element_at(share, F.col(lang)) * 1_000_000
-    picked = rows.where(low).select(F.col(text).alias("t"), F.col(lang).alias("l")).collect()
-    return train(sorted((r["t"], r["l"]) for r in picked))
+    """Fit on about ``FIT_DOCS`` documents of each language (all of a rarer one) outside the test fold, by a hash of the key.
+
+    Words are counted where the texts lie; only counts come to the driver, those
+    of ``FIT_WORDS`` words at most, and of ``FIT_LANGS`` languages. So neither
+    long texts nor rows that repeat a key make the model's data grow.
+    """
+    spark = docs.sparkSession
+    rows = docs.where(~is_held_out(F.col(key), 4, 2) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    sizes = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(FIT_LANGS).collect()
+    counted: dict[str, Counter] = {r["l"]: Counter() for r in sizes}
+    if not sizes:
+        return of_counts({})
+    shares = spark.createDataFrame([(r["l"], int(min(1.0, FIT_DOCS / r["n"]) * 1_000_000)) for r in sizes], "l string, share int")
+    picked = rows.join(F.broadcast(shares), "l").where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < F.col("share")).select("l", "t")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, texts = batch.column(0).to_pylist(), batch.column(1)
+            found: dict[str, Counter] = {}
+            for a, b in slices(len(batch), 64):
+                for own, t in zip(langs[a:b], texts.slice(a, b - a).to_pylist(), strict=True):
+                    found.setdefault(own, Counter()).update(LETTERS.findall(t.lower()))
+            flat = [(own, w, n) for own, c in found.items() for w, n in c.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["l", "w", "n"])
+
+    total = picked.mapInArrow(words, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
+    for r in total.orderBy(F.desc("n"), "l", "w").limit(FIT_WORDS).toLocalIterator():
+        counted[r["l"]][r["w"]] = r["n"]
+    return of_counts(counted)
 
 
 def identified(df: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:

@@ -86,6 +86,30 @@ def test_held_out_languages_do_not_reach_the_model(spark):
     assert a.langs == b.langs and a.words == b.words and a.grams == b.grams and (a.logs == b.logs).all()
 
 
+def test_the_query_is_brute_force_over_the_whole_table(spark):
+    """The registered query; at this size every row outside the test fold is learned."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    model = op.train(sorted((r["text"], r["lang"]) for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None and r["text"] is not None))
+    texts = {r["doc_id"]: r["text"] for r in docs}
+    got = op.op3_language(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        want = brute(model, texts[r["doc_id"]])
+        assert r["lang_pred"] == want[0] and r["score"] == pytest.approx(want[1], abs=1e-6)
+
+
+def test_the_fit_is_bounded_and_counts_every_row_of_its_sample(spark, monkeypatch):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(ROWS * 5)]
+    df = spark.createDataFrame(rows + [(k, "seltenes wort " * 3000, "de") for k in (3, 3, 3, 3, 7)], "doc_id long, text string, lang string")
+    kept = [r for r in df.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    a, b = op.fit(df.repartition(5)), op.train([(r["text"], r["lang"]) for r in kept])
+    assert a.words == b.words and a.grams == b.grams and np.allclose(a.logs, b.logs)
+    monkeypatch.setattr(op, "FIT_LANGS", 2)
+    monkeypatch.setattr(op, "FIT_WORDS", 5)
+    few = op.fit(df)
+    assert len(few.langs) == 2 and len(few.words) <= 5
+
+
 def test_held_out_accuracy(spark):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     held = [r for r in op.op3_language(spark, SF).collect() if r["held_out"]]
