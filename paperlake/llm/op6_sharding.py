@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import free_name, materialise, table
 
 #: Bytes of text of a shard.
 LIMIT = 64 << 20
+SMALL = 64 << 10
 BITS = 32
 #: Bits of the directory beyond those that even shards would need, and bits that are added where a cell is still too large.
 SLACK, STEP = 4, 6
@@ -63,8 +64,17 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
     at most ``limit`` bytes or one row; page is 0 elsewhere.
     Null keys share a hash and so a shard with its pages; an empty table gives no rows.
     """
-    sizes = materialise(df.select(F.col(key).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(F.col(key)).alias("h")), "shard-sizes")
-    entries = materialise(directory(sizes, limit), "shard-directory")
+    sizes = materialise(_sized(df, key, text), "shard-sizes")
+    return _placed(sizes, materialise(directory(sizes, limit), "shard-directory"), limit).drop("h")
+
+
+def _sized(df: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
+    return df.select(*carried, F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(F.col(f"`{key}`")).alias("h"))
+
+
+def _placed(sizes: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
+    """Rows with doc_id, n_bytes and h, and whatever else they have, in their shards and pages."""
+    carried = [c for c in sizes.columns if c not in ("doc_id", "n_bytes", "h")]
     if entries.count() <= BROADCAST_CELLS:
         entries = F.broadcast(entries)
     lengths = [r["bits"] for r in entries.select("bits").distinct().orderBy("bits").collect()]
@@ -72,9 +82,9 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
     rows = rows.withColumn("_cell", F.expr(f"shiftright(h, {BITS} - _at)"))
     rows = rows.join(entries, (F.col("_at") == F.col("bits")) & (F.col("_cell") == F.col("cell")))
     shard = F.when(F.col("depth") == 0, "").otherwise(F.expr(f"substring(lpad(bin(h), {BITS}, '0'), 1, depth)"))
-    out = rows.select("doc_id", "n_bytes", "depth", shard.alias("shard"), "shard_bytes", "h")
+    out = rows.select("doc_id", "n_bytes", "depth", shard.alias("shard"), "shard_bytes", "h", *carried)
     fits = out.where(F.col("shard_bytes") <= limit).withColumn("page", F.lit(0).cast("long"))
-    return fits.unionByName(_paged(out.where(F.col("shard_bytes") > limit), limit)).drop("h")
+    return fits.unionByName(_paged(out.where(F.col("shard_bytes") > limit), limit))
 
 
 def _paged(rows: DataFrame, limit: int) -> DataFrame:
@@ -99,19 +109,37 @@ def _paged(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """Write the table's rows below ``path`` by shard and page, and return the assignment. Rows with a null key have shard ``null``."""
-    placed = assign(df, key, text, limit)
-    where = placed.groupBy(F.col("doc_id").alias("_k")).agg(F.min(F.struct("shard", "page")).alias("_s"))
-    rows = df.join(where, df[key].eqNullSafe(where["_k"]), "left").withColumns({"shard": F.col("_s.shard"), "page": F.col("_s.page")}).drop("_k", "_s")
-    rows.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
-    return placed
+    """Write the table's rows, all columns as they are, below ``path`` in a folder for each shard and page, and return the assignment.
+
+    Each row goes to its own page, so that rows of one key are in as many pages
+    as ``assign`` says and no file's texts are over the limit, but for one
+    longer text. The folders' columns are ``shard`` (an ``s`` before its bits,
+    so that readers keep leading zeros) and ``page``, with underscores before
+    them where the table has such columns itself.
+    """
+    sizes = materialise(_sized(df, key, text), "shard-sizes")
+    entries = materialise(directory(sizes, limit), "shard-directory")
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    rows = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"), whole)
+    placed = _placed(_sized(rows, "_key", "_text", "_row"), entries, limit)
+    shard, page = free_name(df, "shard"), free_name(df, "page")
+    out = placed.select("_row.*", F.concat(F.lit("s"), "shard").alias(shard), F.col("page").alias(page))
+    out.repartition(shard, page).write.partitionBy(shard, page).parquet(path)
+    return placed.drop("h", "_row")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents"))
 
 
-SQL = f"""
+def sharding_64k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with a limit of 64 KiB, at which small tables have shards of many depths."""
+    return assign(table(spark, sf_dir, "documents"), limit=SMALL)
+
+
+def sql(limit: int) -> str:
+    """Each row's least depth at which its prefix fits. A shard of full depth is one text here, as keys differ: page 0."""
+    return f"""
 WITH d AS (
   SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS h
@@ -122,7 +150,7 @@ WITH d AS (
 ), s AS (
   SELECT d.doc_id, d.h, any_value(d.n_bytes) AS n_bytes, min(p.depth) AS depth
   FROM d JOIN p ON p.prefix = d.h >> ({BITS} - p.depth)
-  WHERE p.shard_bytes <= {LIMIT} OR p.depth = {BITS} GROUP BY d.doc_id, d.h
+  WHERE p.shard_bytes <= {limit} OR p.depth = {BITS} GROUP BY d.doc_id, d.h
 )
 SELECT s.doc_id, s.n_bytes, CAST(s.depth AS INTEGER) AS depth,
        left(CAST(CAST(s.h AS BIT) AS VARCHAR)[-{BITS}:], CAST(s.depth AS INTEGER)) AS shard,

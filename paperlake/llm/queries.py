@@ -22,5 +22,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe_codec, op3_language, op4_simhash, op5_embeddings, op6_sharding.op6_sharding, op7_token_counts, op8_quality, op9_decontamination, op10_licenses)} | {"pipeline": pipeline}
-SQL = {"op6_sharding": op6_sharding.SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe_codec, op3_language, op4_simhash, op5_embeddings, op6_sharding.op6_sharding, op7_token_counts, op8_quality, op9_decontamination, op10_licenses)} | {"pipeline": pipeline, "sharding_64k": op6_sharding.sharding_64k}
+SQL = {"op6_sharding": op6_sharding.sql(op6_sharding.LIMIT), "sharding_64k": op6_sharding.sql(op6_sharding.SMALL)}

@@ -70,9 +70,35 @@ def test_empty_table(spark):
     assert op.assign(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_same_as_sql(spark):
+@pytest.mark.parametrize("name", ["op6_sharding", "sharding_64k"])
+def test_same_as_sql(spark, name):
+    from paperlake.llm import queries
+
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = con.sql(op.SQL).fetchall()
-    got = [tuple(r) for r in op.op6_sharding(spark, SF).select(*con.sql(op.SQL).columns).collect()]
-    assert sorted(got) == sorted(want)
+    found = con.sql(queries.SQL[name])
+    got = [tuple(r) for r in queries.QUERIES[name](spark, SF).select(*found.columns).collect()]
+    assert sorted(got) == sorted(found.fetchall())
+    assert name == "op6_sharding" or len({r[found.columns.index("depth")] for r in got}) > 2
+
+
+def test_rows_of_one_key_are_written_by_page(spark, tmp_path):
+    """Many rows with one key, and columns called as the folders are."""
+    rows = [(7, "x" * 100, f"p{i}", i, i) for i in range(6)] + [(k, "y" * 50, "q", 9, 9) for k in range(100, 110)] + [(None, None, None, None, None), (5, "z" * 900, "long", 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, page string, shard int, _page int")
+    placed = op.write(df, f"file://{tmp_path}/out", limit=200)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert sorted(map(str, back.select(df.columns).collect())) == sorted(map(str, df.collect()))
+    assert set(back.columns) - set(df.columns) == {"_shard", "__page"}
+    pages = defaultdict(list)
+    for r in back.collect():
+        pages[r["_shard"], r["__page"]].append(len(r["text"] or ""))
+        assert r["_shard"][0] == "s" and set(r["_shard"][1:]) <= set("01")
+    assert all(sum(x) <= 200 or len(x) == 1 for x in pages.values()) and len(pages) > 5
+    said = {(f"s{r['shard']}", r["page"]) for r in placed.collect()}
+    assert {(a, int(b)) for a, b in pages} == said
+
+
+def test_write_of_an_empty_table(spark, tmp_path):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert op.write(df, f"file://{tmp_path}/out").collect() == []
