@@ -366,11 +366,12 @@ class Scorer:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Network | None:
     """Fit on the labelled rows outside the test fold, ``FIT_TOXIC`` and ``FIT_CLEAN`` at most of those with the lowest hashes.
 
-    A key with two labels counts as toxic; rows whose key, text or label is null aren't used.
+    A key with two labels counts as toxic; rows whose key, text or label is null, or whose text is over ``FIT_CHARS``, aren't
+    used. Of a key with several texts the least is.
     """
     known = labels.where(F.col(label).isin(0, 1) & ~is_held_out(F.col(key), 5, 0)).groupBy(F.col(key).alias("_k")).agg(F.max(label).alias("_y"))
     picked = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_k"), "_k").limit(n) for y, n in ((1, FIT_TOXIC), (0, FIT_CLEAN))]
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.length("_t") <= FIT_CHARS).join(F.broadcast(picked[0].unionByName(picked[1])), "_k").dropDuplicates(["_k"]).collect()
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.length("_t") <= FIT_CHARS).join(F.broadcast(picked[0].unionByName(picked[1])), "_k").groupBy("_k").agg(F.min("_t").alias("_t"), F.max("_y").alias("_y")).collect()
     rows.sort(key=lambda r: r["_k"])
     return train([r["_t"] for r in rows], [int(r["_y"]) for r in rows])
 

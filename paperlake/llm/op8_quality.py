@@ -103,10 +103,10 @@ def measured(df: DataFrame, text: str = "text", into: str = "features") -> DataF
 
 
 def fit(features: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> Discriminant | None:
-    """Fit on ``FIT_DOCS`` labelled keys at most outside the test fold. Of a key with two labels the higher counts."""
+    """Fit on ``FIT_DOCS`` labelled keys at most outside the test fold. Of a key with two labels the higher counts, of one with several texts the least statistics."""
     known = labels.where(F.col(label).isin(0, 1) & ~is_held_out(F.col(key), 4, 2)).groupBy(F.col(key).alias("_k")).agg(F.max(label).alias("_y"))
     picked = known.orderBy(F.xxhash64("_k"), "_k").limit(FIT_DOCS)
-    rows = features.select(F.col(key).alias("_k"), F.col("features").alias("_f")).join(F.broadcast(picked), "_k").dropDuplicates(["_k"]).collect()
+    rows = features.select(F.col(key).alias("_k"), F.col("features").alias("_f")).join(F.broadcast(picked), "_k").groupBy("_k").agg(F.min("_f").alias("_f"), F.max("_y").alias("_y")).collect()
     rows.sort(key=lambda r: r["_k"])
     return train(np.array([r["_f"] for r in rows], dtype=np.float64).reshape(len(rows), len(NAMES)), np.array([r["_y"] for r in rows], dtype=np.int64))
 

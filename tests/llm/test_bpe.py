@@ -75,6 +75,17 @@ def test_round_trip_of_odd_rows(spark, reference):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_the_query_is_the_library_over_the_whole_table(spark, reference):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = codec.op2_bpe_codec(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        text = texts[r["doc_id"]] or ""
+        ids = reference.encode_ordinary(text)
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_encode_and_decode_columns(spark, reference):
     df = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(ODD)], "doc_id long, text string, bpe string")
     out = codec.decode(codec.encode(df).selectExpr("doc_id", "text", "bpe.*"))

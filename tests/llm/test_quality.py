@@ -9,22 +9,50 @@ from paperlake.llm import op8_quality as op
 SF = "/root/testdata/sf0.01"
 
 
+def brute(x, y, rows):
+    """Probabilities of ``rows`` by the densities of shrunk covariances, inverted whole."""
+    centre, scale = x.mean(0), x.std(0) + 1e-6
+    z, w, d = (x - centre) / scale, (rows - centre) / scale, x.shape[1]
+    sizes = [int((y == c).sum()) for c in (0, 1)]
+    spread = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    pooled = (sizes[0] * spread[0] + sizes[1] * spread[1]) / len(y)
+    logs = []
+    for c, n in enumerate(sizes):
+        share = max(op.TO_POOLED, d / (d + n))
+        cov = (1 - share) * spread[c] + share * pooled
+        cov = (1 - op.TO_SPHERE) * cov + op.TO_SPHERE * np.eye(d) * np.trace(pooled) / d
+        off = w - z[y == c].mean(0)
+        logs.append(np.log(n / len(y)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ni,ij,nj->n", off, np.linalg.inv(cov), off))
+    return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -50, 50)))
+
+
 def test_scores_are_mahalanobis_log_density_differences():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.standard_normal((200, 5)), rng.standard_normal((90, 5)) @ rng.standard_normal((5, 5)) + 1])
     y = np.array([0] * 200 + [1] * 90)
-    model = op.train(x, y)
-    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
-    spread = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
-    pooled = (200 * spread[0] + 90 * spread[1]) / 290
-    logs = []
-    for c, n in ((0, 200), (1, 90)):
-        share = max(op.TO_POOLED, 5 / (5 + n))
-        cov = (1 - share) * spread[c] + share * pooled
-        cov = (1 - op.TO_SPHERE) * cov + op.TO_SPHERE * np.eye(5) * np.trace(pooled) / 5
-        d = z - z[y == c].mean(0)
-        logs.append(np.log(n / 290) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ni,ij,nj->n", d, np.linalg.inv(cov), d))
-    assert np.allclose(model.score(x), 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -50, 50))), atol=1e-9)
+    assert np.allclose(op.train(x, y).score(x), brute(x, y, x), atol=1e-9)
+
+
+def test_the_query_is_brute_force_over_the_whole_table(spark):
+    """The registered query; at this size every labelled row outside the test fold is learned."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    fold = {k: zlib.crc32(str(k).encode()) % 4 == 2 for k in texts}
+    known = sorted(k for k, v in labels.items() if k in texts and v in (0, 1) and not fold[k])
+    ids = sorted(texts)
+    x = {k: op.statistics(texts[k] or "") for k in ids}
+    want = brute(np.array([x[k] for k in known]), np.array([labels[k] for k in known]), np.array([x[k] for k in ids]))
+    got = {r["doc_id"]: r for r in op.op8_quality(spark, SF).collect()}
+    assert sorted(got) == ids and all(got[k]["held_out"] == fold[k] and got[k]["predicted"] == int(got[k]["score"] >= 0.7) for k in ids)
+    assert np.allclose([got[k]["score"] for k in ids], want, atol=1e-6)
+
+
+def test_rows_that_repeat_a_key_are_learned_alike_in_any_order(spark):
+    rows = [(i, float(i % 7), float(i % 2)) for i in range(60)] + [(i, float(i % 5), 3.0) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    pad = [0.0] * (len(op.NAMES) - 2)
+    frames = [spark.createDataFrame([(k, [a, b, *pad]) for k, a, b in x], "doc_id long, features array<double>").repartition(n) for x, n in ((rows, 1), (rows[::-1], 4))]
+    assert pickle.dumps(op.fit(frames[0], labels)) == pickle.dumps(op.fit(frames[1], labels))
 
 
 @pytest.mark.parametrize("text", ["", " ", "\n\n", "one", "x" * 100_000, "a b " * 20_000, "é 北京 🤦", "12 34", "line\nline\nline", "\x00"])

@@ -58,21 +58,45 @@ def test_gradients_are_those_of_the_loss():
             assert g[name][at] == pytest.approx((up - down) / 2e-3, rel=0.05, abs=2e-3), name
 
 
+def forward(net, text):
+    """The probability of a whole text: all its overlapping windows, each by the network's own forward pass."""
+    tokens = [op.clean(t) for t in text.split()]
+    best = -1e9
+    for at in op.starts_of(len(tokens)):
+        part = tokens[at : at + op.WINDOW]
+        x = np.zeros((1, op.WINDOW, op.WORD_DIM + op.CHAR_DIM), dtype=np.float32)
+        mask = np.zeros((1, op.WINDOW), dtype=np.float32)
+        if part:
+            x[0, : len(part)] = net.inputs(np.array([net.words.get(w, 0) for w in part]), *op.grams(part))
+            mask[0, : len(part)] = 1
+        best = max(best, float(net.run(x, mask)["logit"][0]))
+    return float(op.sigmoid(np.array(best)))
+
+
 def test_scorer_is_the_networks_forward_pass(net):
-    """All overlapping windows of a text, run whole, by the network's own forward pass."""
     scorer = op.Scorer(net)
     for text in ["", "one", prose(11), prose(24), prose(25), insulting(200, 150), "--- !!! ..."]:
-        tokens = [op.clean(t) for t in text.split()]
-        best = -1e9
-        for at in op.starts_of(len(tokens)):
-            part = tokens[at : at + op.WINDOW]
-            x = np.zeros((1, op.WINDOW, op.WORD_DIM + op.CHAR_DIM), dtype=np.float32)
-            mask = np.zeros((1, op.WINDOW), dtype=np.float32)
-            if part:
-                x[0, : len(part)] = net.inputs(np.array([net.words.get(w, 0) for w in part]), *op.grams(part))
-                mask[0, : len(part)] = 1
-            best = max(best, float(net.run(x, mask)["logit"][0]))
-        assert scorer.score([text])[0] == pytest.approx(float(op.sigmoid(np.array(best))), abs=1e-4)
+        assert scorer.score([text])[0] == pytest.approx(forward(net, text), abs=1e-4)
+
+
+def test_the_query_is_brute_force_over_the_whole_table(spark):
+    """The registered query: every document's score is the forward pass over its whole text."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    net = op.fit(spark, docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = op.op1_toxicity(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        assert r["score"] == pytest.approx(forward(net, texts[r["doc_id"]] or ""), abs=1e-3)
+        assert r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_rows_that_repeat_a_key_are_learned_alike_in_any_order(spark):
+    rows = [(100 + i, f"you {'scumbag idiots' if i % 3 == 0 else 'kind people'} of house {i}") for i in range(60)] + [(100 + i, f"a walk to house {i}") for i in range(60)]
+    labels = spark.createDataFrame([(100 + i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    nets = [op.fit(spark, spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels) for x, n in ((rows, 1), (rows[::-1], 4))]
+    assert pickle.dumps(nets[0].p) == pickle.dumps(nets[1].p)
 
 
 @pytest.mark.parametrize("n", [1, 11, 12, 13, 24, 25, 36, 37, 500])
