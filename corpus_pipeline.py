@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.llm import op1_toxicity, op2_bpe_codec, op3_language, op4_simhash, op9_decontamination
-from paperlake.llm.common import connected_components, materialise, table
+from paperlake.llm.common import connected_components, free_name, materialise, table
 
 #: Rows that leave by deduplication are broadcast up to this many, else joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -15,13 +15,15 @@ BROADCAST_ROWS = 200_000
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5."""
     net = op1_toxicity.fit(spark, docs, table(spark, sf_dir, "labels"))
-    return op1_toxicity.scored(docs, net, into="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    score = free_name(docs, "_toxicity")
+    return op1_toxicity.scored(docs, net, into=score).where(F.col(score) < 0.5).drop(score)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without a letter go."""
-    named = op3_language.identified(docs, op3_language.fit(docs), into="_language")
-    return named.where("_language.lang_pred <> 'und'").drop("_language")
+    found = free_name(docs, "_language")
+    named = op3_language.identified(docs, op3_language.fit(docs), into=found)
+    return named.where(F.col(found)["lang_pred"] != "und").drop(found)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +55,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
-    found = op9_decontamination.with_matches(docs, table(spark, sf_dir, "benchmark"), into="_matches")
-    return found.where(F.size("_matches") == 0).drop("_matches")
+    found = free_name(docs, "_matches")
+    return op9_decontamination.with_matches(docs, table(spark, sf_dir, "benchmark"), into=found).where(F.size(found) == 0).drop(found)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
