@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import compare as C
-from .paths import INTERNAL, Scope, parse_path
+from .paths import INTERNAL, VARIANT, Scope, parse_path
 
 #: Conditions of a conditional update; null ranks lowest, so that nothing absent is at least anything.
 CONDITIONS = ("Eq", "Ne", "Lt", "Lte", "Gt", "Gte", "Exists", "NotExists")
@@ -84,6 +84,9 @@ def assign(df: DataFrame, path: str, new: Column, when: Column | None = None, ki
     first, *rest = parse_path(path)
     held = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
     leaf = df.select(new.alias("v")).schema["v"].dataType if kind is None else kind
+    if first not in df.columns and schemaless(df.schema):
+        doc = F.col(VARIANT)
+        return df.withColumn(VARIANT, F.when(held, _set_in(doc, [first, *rest], None if isinstance(leaf, T.NullType) else variant_of(new, leaf))).otherwise(doc))
     if first not in df.columns:
         return df if rest else df.withColumn(first, F.when(held, new))
     old = df.schema[first].dataType
@@ -94,6 +97,55 @@ def assign(df: DataFrame, path: str, new: Column, when: Column | None = None, ki
     return df.withColumn(first, F.when(held, _replaced(column, wide, rest, new, leaf)).otherwise(column))
 
 
+def schemaless(schema: T.StructType) -> bool:
+    return VARIANT in schema.fieldNames() and isinstance(schema[VARIANT].dataType, T.VariantType)
+
+
+def variant_of(column: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StructType, T.MapType, T.ArrayType)):
+        return F.to_variant_object(column)
+    return column if isinstance(kind, T.VariantType) else column.cast(T.VariantType())
+
+
+def _set_in(doc: Column, steps: list, new: Column | None) -> Column:
+    """A schemaless value with what stands at ``steps`` set, or without it; parents that aren't there or of another kind stay."""
+    first, *rest = steps
+    kind = F.schema_of_variant(doc)
+    if isinstance(first, int):
+        items = F.from_json(F.to_json(doc), "array<variant>")
+        none = F.parse_json(F.lit("null"))
+        changed = F.transform(items, lambda x, i: F.when(i == int(first), _set_in(x, rest, new) if rest else none if new is None else new).otherwise(x))
+        return F.when(kind.startswith("ARRAY"), F.to_variant_object(changed)).otherwise(doc)
+    fields = F.from_json(F.to_json(doc), "map<string,variant>")
+    others = F.map_filter(fields, lambda k, _: k != first)
+    if rest:
+        inner = F.try_element_at(fields, F.lit(first))
+        changed = F.when(F.map_contains_key(fields, F.lit(first)), F.map_concat(others, F.create_map(F.lit(first), _set_in(inner, rest, new)))).otherwise(fields)
+    else:
+        changed = others if new is None else F.map_concat(others, F.create_map(F.lit(first), new))
+    return F.when(kind.startswith("OBJECT"), F.to_variant_object(changed)).otherwise(doc)
+
+
+def with_id(df: DataFrame) -> DataFrame:
+    """Schemaless documents with the id that they hold, if any, as a column of its own; their version isn't theirs to give."""
+    if not schemaless(df.schema) or "_id" in df.columns:
+        return df
+    doc = F.col(VARIANT)
+    bare = F.when(F.schema_of_variant(doc).startswith("OBJECT"), _set_in(_set_in(doc, ["_id"], None), ["_etag"], None)).otherwise(doc)
+    return df.select(F.try_variant_get(doc, "$._id", "string").alias("_id"), bare.alias(VARIANT), *[F.col(f"`{c}`") for c in df.columns if c != VARIANT])
+
+
+def as_schemaless(df: DataFrame) -> DataFrame:
+    """Typed documents as a schemaless collection has them; the id and version stay columns. Absent fields are not in a document."""
+    if schemaless(df.schema):
+        return df
+    head = [c for c in df.columns if c in ("_id", "_etag") or c.startswith(INTERNAL)]
+    fields = [f for f in df.schema.fields if f.name not in head]
+    entries = [F.struct(F.lit(f.name).alias("key"), variant_of(F.col(f"`{f.name}`"), f.dataType).alias("value")) for f in fields]
+    there = F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
+    return df.select(*head, F.to_variant_object(F.map_from_entries(there)).alias(VARIANT))
+
+
 def literal(value: object, kind: T.DataType) -> Column:
     """A value as a column, of a field's own type where that holds it unchanged."""
     if isinstance(value, (dict, list)):
@@ -186,11 +238,17 @@ def patch_operations(body: dict) -> list[tuple]:
 
 def aligned(df: DataFrame, schema: T.StructType) -> DataFrame:
     """A frame's columns as a schema has them, missing ones null."""
+    if schemaless(schema):
+        df = as_schemaless(df)
     return df.select(*[(_cast(F.col(f"`{f.name}`"), df.schema[f.name].dataType, f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
 
 
 def widened(a: T.StructType, b: T.StructType) -> T.StructType:
-    """Both schemas' fields, a number that isn't alike as a double, other unlike types as strings."""
+    """Both schemas' fields, a number that isn't alike as a double, other unlike types as strings. Schemaless if either is."""
+    if a.fields and schemaless(a) != schemaless(b):
+        kept = [*dict.fromkeys(f.name for f in (*a.fields, *b.fields) if f.name in ("_id", "_etag") or f.name.startswith(INTERNAL))]
+        kinds = {f.name: f.dataType for f in (*b.fields, *a.fields)}
+        return T.StructType([*(T.StructField(k, kinds[k]) for k in kept), T.StructField(VARIANT, T.VariantType())])
     out = {f.name: f.dataType for f in a.fields}
     for f in b.fields:
         out[f.name] = merged(out[f.name], f.dataType) if f.name in out else f.dataType

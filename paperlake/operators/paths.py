@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STAR = "*"
+#: The column of a schemaless collection.
+VARIANT = "_doc"
 #: Names that begin so are the engine's own; documents can't have such fields.
 INTERNAL = "__pl_"
 _STEP = re.compile(r"(?:^|\.)(?:`([^`]+)`|([^.\[\]`]+))|\[(\d+|-\d+|\*)\]")
@@ -104,13 +106,17 @@ class Scope:
     """What the paths of a query can reach: a frame's columns, or the sides of a join under their collections' names.
 
     ``sides``: the collections that a joined frame nests; None before a join.
-    ``variant``: the column that holds a schemaless collection's documents.
+    ``variant``: the column that holds a schemaless collection's documents; found by its name and type where not given.
     """
 
     schema: T.StructType
     sides: tuple[str, ...] | None = None
     variant: str | None = None
 
+    def __post_init__(self) -> None:
+        if self.variant is None and self.sides is None and VARIANT in self.schema.fieldNames() and isinstance(self.schema[VARIANT].dataType, T.VariantType):
+            object.__setattr__(self, "variant", VARIANT)
+
     def ref(self, path: str, every: bool = False) -> Ref:
         if path in self.schema.fieldNames():  # also a dotted name, as of a group's key
             return Ref(F.col(f"`{path}`"), self.schema[path].dataType)

@@ -15,13 +15,9 @@ from ..operators.joins import joined, nested
 from ..operators.paths import Ref, Scope
 from . import ast
 
-#: The column of a schemaless collection.
-VARIANT = "_doc"
-
 
 def scope_of(df: DataFrame, sides: tuple[str, ...] | None = None) -> Scope:
-    variant = VARIANT if sides is None and VARIANT in df.columns and isinstance(df.schema[VARIANT].dataType, T.VariantType) else None
-    return Scope(df.schema, sides, variant)
+    return Scope(df.schema, sides)
 
 
 def value(scope: Scope, node: object) -> Ref:

@@ -17,6 +17,7 @@ from .plans.parser import parse
 from .session import DocumentSession, deleted, inserted, updated
 from .sources import documents
 from .sources.store import scratch_root
+from .sources.tables import read_table
 from .streaming import changes as W
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,7 +40,7 @@ class Tables(dict):
         elif name == "events_var":
             self[name] = self["events"].select(F.parse_json(F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"type":"'), F.col("event_type"), F.lit('","props":'), F.col("props"), F.lit("}"))).alias("_doc"))
         else:
-            self[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self[name] = read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
         return self[name]
 
 

@@ -60,11 +60,18 @@ class ReservedField(ValueError):
 
 #: Bytes of files up to which a replicated collection is sent to every executor; a larger one is joined as any other.
 REPLICATED_BYTES = 64 << 20
+#: Parts of a collection at which an insert merges the small ones, and bytes of a small one.
+MANY_PARTS, SMALL_PART_BYTES = 64, 64 << 20
 #: Which row of which file a new document is: what tells equal documents apart.
 ROW = f"{INTERNAL}row"
 HIT = f"{INTERNAL}hit"
 
 
+def _part() -> Column:
+    """The part that a row read from a collection's files lies in."""
+    return F.regexp_extract(F.col("_metadata.file_path"), "/([0-9a-f]{32})/(?!.*/[0-9a-f]{32}/)", 1)
+
+
 def where(df: DataFrame, condition: object) -> Column:
     """A parsed condition as a two-valued Column."""
     return F.lit(True) if condition is None else F.coalesce(build.condition(build.scope_of(df), condition), F.lit(False))
@@ -247,10 +254,10 @@ class DocumentSession:
         return df.select(*first, *[F.col(f"`{c}`") for c in df.columns if c not in first])
 
     def _as_frame(self, docs: object) -> DataFrame:
-        if isinstance(docs, DataFrame):
-            return docs
-        items = docs if isinstance(docs, list) else [docs]
-        return documents.from_texts(self.spark, [d if isinstance(d, str) else json.dumps(d) for d in items])
+        if not isinstance(docs, DataFrame):
+            items = docs if isinstance(docs, list) else [docs]
+            docs = documents.from_texts(self.spark, [d if isinstance(d, str) else json.dumps(d) for d in items])
+        return M.with_id(docs)
 
     def _log_rows(self, df: DataFrame) -> DataFrame:
         return df.select(F.col("_id").alias("id"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("document"))
@@ -260,8 +267,11 @@ class DocumentSession:
         df = self.store.load(schema, path)
         return df.select(*[F.col(f"`{c}`") for c in schema.fieldNames()], F.struct("_metadata.file_path", "_metadata.row_index").alias(ROW))
 
-    def _faults(self, name: str, entry: dict, new: DataFrame, rest: DataFrame | None, manifest: dict) -> DataFrame:
-        """New documents (with ``ROW``) and what each breaks: rules, references, uniqueness among themselves and against the rest."""
+    def _faults(self, name: str, entry: dict, new: DataFrame, rest: DataFrame | None, manifest: dict, drawn: bool = False) -> DataFrame:
+        """New documents (with ``ROW``) and what each breaks: rules, references, uniqueness among themselves and against the rest.
+
+        ``drawn``: their ids were drawn at random just now, and needn't be compared.
+        """
         rules = K.Rules.from_json(entry["rules"]) if entry["rules"] else K.Rules()
         out = K.violations(new, rules)
 
@@ -272,7 +282,7 @@ class DocumentSession:
 
         for r in rules.refs:
             out = marked(out, K.dangling(new, r.path, self.store.read(r.collection, manifest=manifest), r.target), f"{r.path} refers to no {r.collection}")
-        unique = [["_id"]] + [i["paths"] for i in entry["indexes"].values() if i["unique"]]
+        unique = ([] if drawn else [["_id"]]) + [i["paths"] for i in entry["indexes"].values() if i["unique"]]
         for paths in unique:
             keys = [C.as_text(Scope(new.schema).ref(p)) for p in paths]
             whole = F.lit(True)
@@ -289,6 +299,15 @@ class DocumentSession:
     def _write(self, name: str, entry: dict, df: DataFrame) -> str:
         return self.store.write_part(name, df, index_paths(entry), entry.get("shard"))
 
+    def _merged(self, name: str, entry: dict) -> list[str]:
+        """A collection's parts; where there are many, the small ones as one, so that many small inserts don't slow down reads."""
+        if len(entry["parts"]) < MANY_PARTS:
+            return entry["parts"]
+        small = [p for p in entry["parts"] if self.store.size({"parts": [p]}) <= SMALL_PART_BYTES]
+        if len(small) < 2:
+            return entry["parts"]
+        return [*(p for p in entry["parts"] if p not in small), self._write(name, entry, self.store.rows(entry | {"parts": small}))]
+
     def import_json(self, name: str, path: str, atomic: bool = True, checked: bool = True, multi_line: bool = False) -> QueryResult:
         """Insert a file or folder of JSON lines, or with ``multi_line`` of JSON arrays, as ``insert`` does."""
         return self.insert(name, documents.read_json(self.spark, path, multi_line=multi_line), atomic, checked)
@@ -301,7 +320,8 @@ class DocumentSession:
         bulk path: no rules, no change log.
         """
         name = collection_name(name)
-        new = self._stamped(self._as_frame(docs), checked)
+        given = self._as_frame(docs)
+        new, drawn = self._stamped(given, checked), "_id" not in given.columns
 
         def change(manifest: dict) -> QueryResult:
             entry = self._entry(manifest, name, new.schema)
@@ -311,7 +331,7 @@ class DocumentSession:
             faults = None
             if checked:
                 rows = self._rows(staged, schema)
-                judged = self._faults(name, entry, rows, old, manifest).where(F.size(K.BROKEN) > 0).select("_id", ROW, K.BROKEN)
+                judged = self._faults(name, entry, rows, old, manifest, drawn).where(F.size(K.BROKEN) > 0).select("_id", ROW, K.BROKEN)
                 faults = self.spark.read.schema(judged.schema).parquet(self.store.write_part("_faults", judged))  # one judgement, kept whole
                 bad = bool(faults.limit(1).collect())
                 if bad and atomic:
@@ -323,7 +343,7 @@ class DocumentSession:
             if entry["schema"] != schema.json() and entry["parts"]:
                 entry["parts"] = [self._write(name, entry, M.aligned(old, schema))]
             entry["schema"] = schema.json()
-            entry["parts"].append(staged)
+            entry["parts"] = [*self._merged(name, entry), staged]
             log = self.store.log(manifest["version"] + 1, manifest["seq"], [(name, "insert", self._log_rows(rows))]) if checked else None
             self.store.commit(manifest, manifest["collections"] | {name: entry}, log)
             n = rows.count()
@@ -349,8 +369,7 @@ class DocumentSession:
                 return QueryResult(message="0 affected")
             schema = T.StructType.fromJson(json.loads(entry["schema"]))
             df = self.store.rows(entry)
-            part = F.regexp_extract(F.col("_metadata.file_path"), "/([0-9a-f]{32})/(?!.*/[0-9a-f]{32}/)", 1)
-            counts = {r["part"]: r["count"] for r in df.where(hit(df)).select(part.alias("part")).groupBy("part").count().collect()}
+            counts = {r["part"]: r["count"] for r in df.where(hit(df)).select(_part().alias("part")).groupBy("part").count().collect()}
             if not counts:
                 return QueryResult(message="0 affected")
             touched = [p for p in entry["parts"] if p.rsplit("/", 1)[-1] in counts]
@@ -398,30 +417,46 @@ class DocumentSession:
             plan = K.plan_delete(frames, rules, name, frames[name].filter(hit(frames[name])).select("_id"), written)
             changes, affected = [], 0
             for n, ids in plan.gone.items():
-                gone = frames[n].join(ids, "_id", "left_semi").select(frames[n].columns)
-                count = gone.count()
+                touched, others, count = self._touched(entries[n], "_id", ids)
                 if n == name:
                     affected = count
                 if not count:
                     continue
-                changes.append((n, "delete", self._log_rows(gone)))
-                frames[n] = frames[n].join(ids, "_id", "left_anti").select(frames[n].columns)
-                entries[n]["parts"] = None
+                old = self.store.rows(entries[n] | {"parts": touched})
+                changes.append((n, "delete", self._log_rows(old.join(ids, "_id", "left_semi").select(old.columns))))
+                entries[n]["parts"] = [*others, self._write(n, entries[n], old.join(ids, "_id", "left_anti").select(old.columns))]
             for n, path, keys in plan.nulled:
-                held = frames[n].withColumn(f"{INTERNAL}ref", C.as_text(Scope(frames[n].schema).ref(path))).join(keys, F.col(f"{INTERNAL}ref") == F.col(K.PARENT), "left")
-                frames[n] = M.assign(held, path, F.lit(None), F.col(K.PARENT).isNotNull()).drop(f"{INTERNAL}ref", K.PARENT)
-                entries[n]["parts"] = None
+                touched, others, count = self._touched(entries[n], path, keys)
+                if not count:
+                    continue
+                old = self.store.rows(entries[n] | {"parts": touched})
+                held = old.withColumn(f"{INTERNAL}ref", C.as_text(Scope(old.schema).ref(path))).join(keys, F.col(f"{INTERNAL}ref") == F.col(K.PARENT), "left").withColumn(HIT, F.col(K.PARENT).isNotNull())
+                image = M.assign(held, path, F.lit(None), F.col(HIT))
+                if "_etag" in old.columns:
+                    image = image.withColumn("_etag", F.when(F.col(HIT), F.expr("replace(uuid(), '-', '')")).otherwise(F.col("_etag")))
+                image = written(image.select(*[F.col(f"`{c}`") for c in old.columns], HIT))  # versions are drawn once
+                changes.append((n, "update", self._log_rows(image.where(HIT).drop(HIT))))
+                entries[n]["parts"] = [*others, self._write(n, entries[n], image.drop(HIT))]
             if not affected:
                 return QueryResult(message="0 affected")
-            for n, e in entries.items():
-                if e["parts"] is None:
-                    e["parts"] = [self._write(n, e, frames[n])]
             log = self.store.log(manifest["version"] + 1, manifest["seq"], changes)
             self.store.commit(manifest, manifest["collections"] | entries, log)
             return QueryResult(affected=affected, message=f"{affected} affected")
 
         return self._retried(change)
 
+    def _touched(self, entry: dict, path: str, keys: DataFrame) -> tuple[list[str], list[str], int]:
+        """The parts of a collection that hold a document whose field's text is among ``keys``, a column of them, the others, and
+        the number of such documents."""
+        if not entry["parts"]:
+            return [], [], 0
+        df = self.store.rows(entry)
+        named = df.select(C.as_text(Scope(df.schema).ref(path)).alias(keys.columns[0]), _part().alias(f"{INTERNAL}part"))
+        found = named.join(keys, keys.columns[0], "left_semi").groupBy(f"{INTERNAL}part").count().collect()
+        counts = {r[0]: r["count"] for r in found}
+        touched = [p for p in entry["parts"] if p.rsplit("/", 1)[-1] in counts]
+        return touched, [p for p in entry["parts"] if p not in touched], sum(counts.values())
+
     def replace(self, name: str, key: str, doc: dict, etag: str | None = None) -> QueryResult:
         """Replace a document, which keeps its id; with ``etag`` only that version of it."""
         if self.find(name) is None:

@@ -211,14 +211,14 @@ def blob_contents(t: Tables) -> DataFrame:
 
 
 # indexes and layout
-@native("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000 ORDER BY o_totalprice LIMIT 100")
+@native("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000 ORDER BY o_totalprice, o_orderkey LIMIT 100")
 def index_range_limit(t: Tables) -> DataFrame:
     """A range with a limit on a collection whose files are cut and sorted by the field."""
     db = DocumentSession(t.spark, scratch_root(t.spark))
     db.insert("orders", t["orders"].limit(0), checked=False)
     db.create_index("price", "orders", ["o_totalprice"])
     db.insert("orders", t["orders"], checked=False)
-    return db.query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000 ORDER BY o_totalprice LIMIT 100").drop("_id")
+    return db.query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000 ORDER BY o_totalprice, o_orderkey LIMIT 100").drop("_id")
 
 
 @native("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (7, 11, 13) OR o_custkey = 20")
@@ -384,6 +384,14 @@ def auto_limit(t: Tables) -> DataFrame:
     return db.query("SELECT c_custkey FROM customer").agg(F.count(F.lit(1)).alias("n"))
 
 
+@native("SELECT least(count(*), 25) AS n, 1 AS stops_early FROM orders WHERE o_totalprice > 1000")
+def limit_early(t: Tables) -> DataFrame:
+    """A limit without an order is taken from each task's first rows; which rows isn't said, so they are counted."""
+    df = build.select(parse("SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 LIMIT 20 OFFSET 5"), t.get_frame)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return df.agg((F.count(F.lit(1)) + 5).alias("n"), F.lit(int("Limit" in plan and "Sort" not in plan)).alias("stops_early"))
+
+
 @native("SELECT count(*) AS rows, count(*) AS ids, 1 AS moments, 32 AS length FROM nation")
 def fn_newid_now(t: Tables) -> DataFrame:
     """A new id for each row, and one moment for a query."""

@@ -327,3 +327,85 @@ def test_vacuum_keeps_what_is_named(db):
     db.compact("a")
     gone = db.store.vacuum()
     assert len(gone) >= 3 and db.count("a") == 3 and isinstance(db.store, Store)
+
+
+def test_many_small_parts_are_merged(db, monkeypatch):
+    monkeypatch.setattr("paperlake.session.MANY_PARTS", 3)
+    for i in range(5):
+        db.insert("a", [{"_id": str(i), "v": i}])
+    assert len(db.store.manifest()["collections"]["a"]["parts"]) <= 3 and docs(db, "a", "v") == [(i,) for i in range(5)]
+    monkeypatch.setattr("paperlake.session.SMALL_PART_BYTES", 10)
+    for i in range(5, 9):
+        db.insert("a", [{"_id": str(i), "v": i}])
+    assert len(db.store.manifest()["collections"]["a"]["parts"]) > 3 and db.count("a") == 9
+
+
+def test_ids_that_were_drawn_are_not_compared(db):
+    db.insert("a", [{"v": 1}])
+    new = db._rows(db.store.manifest()["collections"]["a"]["parts"][0], db.find("a").schema)
+    entry = db._entry(db.store.manifest(), "a")
+    plans = [db._faults("a", entry, new, db.find("a"), db.store.manifest(), drawn)._jdf.queryExecution().analyzed().toString() for drawn in (True, False)]
+    assert "Join" not in plans[0] and "Join" in plans[1]
+
+
+def test_a_rename_takes_a_free_name_alone(db):
+    store = db.store
+    one, two, target = (store._path(f"{store.root}/_manifest/{n}") for n in ("one", "two", "target"))
+    store._put(one, "1", False)
+    store._put(two, "2", False)
+    store._rename(one, target)
+    with pytest.raises(Exception, match="exists|Exists"):
+        store._rename(two, target)
+    assert store._line(target) == "1"
+
+
+def test_a_delete_rewrites_the_parts_that_it_touches_and_logs_what_it_changes(db):
+    db.insert("p", [{"_id": "p1", "k": 1}, {"_id": "p2", "k": 2}])
+    for i in range(3):
+        db.insert("kids", [{"_id": f"k{i}", "p": "p1" if i == 1 else "p2", "v": i}])
+    db.set_rules("kids", K.Rules(refs=[K.Reference("p", "p", on_delete="setNull")]))
+    before = db.store.manifest()["collections"]["kids"]["parts"]
+    seq, etags = db.store.manifest()["seq"], {r["_id"]: r["_etag"] for r in db.find("kids").collect()}
+    assert db.sql("DELETE FROM p WHERE k = 1").affected == 1
+    after = db.store.manifest()["collections"]["kids"]["parts"]
+    assert len(set(before) & set(after)) == 2 and docs(db, "kids", "_id", "p", "v") == [("k0", "p2", 0), ("k1", None, 1), ("k2", "p2", 2)]
+    assert sorted((r["collection"], r["op"], r["id"]) for r in db.store.changes(seq).collect()) == [("kids", "update", "k1"), ("p", "delete", "p1")]
+    assert {k for k, v in etags.items() if db.find_by_id("kids", k).first()["_etag"] != v} == {"k1"}
+
+
+def test_a_tables_schema_is_read_again_when_it_changes(spark, tmp_path):
+    from paperlake.sources.tables import read_table
+
+    path = f"file://{tmp_path}/t"
+    spark.range(3).write.parquet(path)
+    assert read_table(spark, path).columns == ["id"] and read_table(spark, path).count() == 3
+    spark.range(2).selectExpr("id AS k", "'x' AS v").write.mode("overwrite").parquet(path)
+    assert read_table(spark, path).columns == ["k", "v"] and read_table(spark, path).count() == 2
+
+
+def test_changes_of_schemaless_documents(db):
+    """Values that conflict make a collection schemaless; updates then change each document by itself."""
+    db.insert("m", ['{"_id": "1", "v": 1, "x": {"y": 1, "z": [1, {"q": 2}]}}', '{"_id": "2", "v": "text", "x": "none"}', '{"_id": "3", "v": null, "w": true}'])
+    assert dict(db.find("m").dtypes)["_doc"] == "variant"
+
+    def value(path, key):
+        return db.query(f"SELECT {path} AS p FROM m WHERE _id = '{key}'").selectExpr("to_json(p)").first()[0]
+
+    assert db.sql("UPDATE m SET v = 2.5, x.y = 'new', n = 7 WHERE _id = '1'").affected == 1
+    assert [value("v", k) for k in "123"] == ["2.5", '"text"', "null"] and value("x.y", "1") == '"new"' and value("n", "1") == "7" and value("n", "2") is None
+    assert db.sql("UPDATE m SET x.z[1].q = 9, x.none.deep = 1").affected == 3
+    assert value("x.z", "1") == '[1,{"q":9}]' and value("x", "2") == '"none"' and value("x", "3") is None
+    assert db.update_if("m", [("w", "Eq", True)], [("w", "Unset"), ("v", "Set", 4)]).affected == 1
+    assert value("v", "3") == "4" and value("w", "3") is None
+    assert db.sql("DELETE FROM m WHERE v = 'text'").affected == 1 and db.count("m") == 2
+
+
+def test_a_typed_collection_becomes_schemaless_with_what_conflicts(db):
+    db.insert("m", [{"_id": "1", "v": 1, "at": "2024-01-01T00:00:00", "none": None}])
+    db.insert("m", ['{"_id": "2", "v": 1}', '{"_id": "3", "v": "x"}'])
+    db.insert("m", [{"_id": "4", "v": 5}])
+    df = db.find("m")
+    assert df.columns == ["_id", "_etag", "_doc"] and db.query("SELECT COUNT(*) FROM m WHERE v = 1").first()[0] == 2
+    assert db.query("SELECT COUNT(*) FROM m WHERE v = 5").first()[0] == 1 and db.query("SELECT COUNT(*) FROM m WHERE none IS NULL").first()[0] == 4
+    with pytest.raises(K.Violation):
+        db.insert("m", [{"_id": "4", "v": 6}])
