@@ -10,7 +10,7 @@ from .op2_bpe_codec import op2_bpe_codec
 from .op3_language import op3_language
 from .op4_simhash import op4_simhash
 from .op5_embeddings import op5_embeddings
-from .op7_token_counts import op7_token_counts
+from .op7_token_counts import op7_token_counts, token_counts_cached
 from .op8_quality import op8_quality
 from .op9_decontamination import op9_decontamination
 from .op10_licenses import op10_licenses
@@ -22,5 +22,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe_codec, op3_language, op4_simhash, op5_embeddings, op6_sharding.op6_sharding, op7_token_counts, op8_quality, op9_decontamination, op10_licenses)} | {"pipeline": pipeline, "sharding_64k": op6_sharding.sharding_64k}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe_codec, op3_language, op4_simhash, op5_embeddings, op6_sharding.op6_sharding, op7_token_counts, op8_quality, op9_decontamination, op10_licenses)} | {"pipeline": pipeline, "sharding_64k": op6_sharding.sharding_64k, "token_counts_cached": token_counts_cached}
 SQL = {"op6_sharding": op6_sharding.sql(op6_sharding.LIMIT), "sharding_64k": op6_sharding.sql(op6_sharding.SMALL)}

@@ -64,3 +64,13 @@ def test_whole_table(spark):
     got = {r["doc_id"]: r["n_tokens"] for r in op.op7_token_counts(spark, SF).collect()}
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     assert got == dict(zip([r["doc_id"] for r in rows], expected([r["text"] for r in rows]), strict=True))
+
+
+def test_a_filled_cache_gives_the_same_and_gets_nothing_new(spark, tmp_path):
+    key = lambda r: r["doc_id"]
+    assert sorted(op.token_counts_cached(spark, SF).collect(), key=key) == sorted(op.op7_token_counts(spark, SF).collect(), key=key)
+    docs, cache = spark.read.parquet(f"{SF}/documents.parquet"), f"file://{tmp_path}/cache"
+    op.count_tokens(docs, cache)
+    n = spark.read.parquet(cache).count()
+    op.count_tokens(docs, cache)
+    assert spark.read.parquet(cache).count() == n
