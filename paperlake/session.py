@@ -141,18 +141,23 @@ class DocumentSession:
         return df
 
     def _found(self, q: ast.Select) -> Callable[[str], DataFrame | None]:
-        """``find`` for a SELECT: a collection that is laid out by a key which the condition fixes is read in those shards alone."""
+        """``find`` for a SELECT, of one version for all its collections: one that is laid out by a key which the condition fixes is
+        read in those shards alone."""
+
+        version = self.store.version() if self.store else None
 
         def find(name: str) -> DataFrame | None:
             name = collection_name(name)
-            entry = self.store.manifest()["collections"].get(name) if self.store and name not in self.frames else None
+            if self.store is None or name in self.frames:
+                return self.find(name)
+            entry = self.store.manifest(version)["collections"].get(name)
             keys = build.key_values(q, name, entry["shard"]["path"]) if entry and entry.get("shard") else None
             if keys is None:
-                return self.find(name)
+                return self.find(name, version)
             kind = Scope(T.StructType.fromJson(json.loads(entry["schema"]))).ref(entry["shard"]["path"]).kind
             placed = [C.as_key(v, kind) for v in keys]
             if any(p is None for p in placed):
-                return self.find(name)
+                return self.find(name, version)
             wanted = [shard_of(p, entry["shard"]["shards"]).alias(f"s{i}") for i, p in enumerate(placed)]
             return self.store.rows(entry, list(self.spark.range(1).select(*wanted).first()) if wanted else [])
 

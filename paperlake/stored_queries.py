@@ -200,14 +200,14 @@ def statistics(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(k, v["documents"], v["indexes"]) for k, v in db.stats().items()], "collection string, documents long, indexes int")
 
 
-@native("SELECT count(DISTINCT text) AS contents, sum(bytes) AS bytes FROM (SELECT DISTINCT text, strlen(text) AS bytes FROM documents WHERE text IS NOT NULL)")
+@native("SELECT count(DISTINCT text) AS contents, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT DISTINCT text, strlen(text) AS bytes FROM documents WHERE text IS NOT NULL)")
 def blob_contents(t: Tables) -> DataFrame:
     """Contents put twice are kept once."""
     blobs = Blobs(t.spark, scratch_root(t.spark))
     df = t["documents"].select(F.col("text").cast("binary").alias("content"))
     blobs.put(df)
     blobs.put(df)
-    return blobs.live().agg(F.count(F.lit(1)).alias("contents"), F.sum("length").cast("decimal(38,0)").alias("bytes"))
+    return blobs.live().agg(F.count(F.lit(1)).alias("contents"), F.sum("length").alias("bytes"))
 
 
 # indexes and layout
@@ -374,7 +374,7 @@ def store_delete_actions(t: Tables) -> DataFrame:
     db.set_rules("customer", K.Rules.from_wire({"refs": [{"field": "c_nationkey", "collection": "nation", "targetField": "n_nationkey", "onDelete": "cascade"}]}))
     db.set_rules("supplier", K.Rules.from_wire({"refs": [{"field": "s_nationkey", "collection": "nation", "targetField": "n_nationkey", "onDelete": "setNull"}]}))
     db.sql("DELETE FROM nation WHERE n_nationkey = 4")
-    return plain(db, "supplier").select("s_suppkey", "s_nationkey", F.lit(db.count("customer")).alias("customers"))
+    return plain(db, "supplier").select("s_suppkey", "s_nationkey", F.lit(db.count("customer")).cast("long").alias("customers"))
 
 
 @native("SELECT least(count(*), 40) AS n FROM customer")
