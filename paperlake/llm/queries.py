@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op5_embeddings as op5
 from . import op6_sharding
 from .op1_toxicity import op1_toxicity
 from .op2_bpe_codec import op2_bpe_codec
@@ -23,4 +24,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe_codec, op3_language, op4_simhash, op5_embeddings, op6_sharding.op6_sharding, op7_token_counts, op8_quality, op9_decontamination, op10_licenses)} | {"pipeline": pipeline, "sharding_64k": op6_sharding.sharding_64k, "token_counts_cached": token_counts_cached}
-SQL = {"op6_sharding": op6_sharding.sql(op6_sharding.LIMIT), "sharding_64k": op6_sharding.sql(op6_sharding.SMALL)}
+SQL = {"op5_embeddings": op5.SQL, "op6_sharding": op6_sharding.sql(op6_sharding.LIMIT), "sharding_64k": op6_sharding.sql(op6_sharding.SMALL)}
