@@ -59,6 +59,11 @@ def to_json(df: DataFrame) -> DataFrame:
     """One column ``json`` with each document's text."""
     if df.columns == [VARIANT]:
         return df.select(F.to_json(VARIANT).alias("json"))
+    if VARIANT in df.columns and isinstance(df.schema[VARIANT].dataType, T.VariantType):  # a schemaless document with its id and version
+        head = [F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").cast("variant").alias("value")) for c in df.columns if c != VARIANT]
+        own = F.map_from_entries(F.filter(F.array(*head), lambda e: e["value"].isNotNull()))
+        fields = F.coalesce(F.from_json(F.to_json(VARIANT), "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+        return df.select(F.to_json(F.map_concat(own, fields)).alias("json"))
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("json"))
 
 

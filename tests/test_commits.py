@@ -1,5 +1,7 @@
 """Commits, the change log, and what changes keep of the documents."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -397,6 +399,8 @@ def test_changes_of_schemaless_documents(db):
     assert value("x.z", "1") == '[1,{"q":9}]' and value("x", "2") == '"none"' and value("x", "3") is None
     assert db.update_if("m", [("w", "Eq", True)], [("w", "Unset"), ("v", "Set", 4)]).affected == 1
     assert value("v", "3") == "4" and value("w", "3") is None
+    lines = [json.loads(x) for x in db.sql("SELECT * FROM m WHERE _id = '2'").lines()]
+    assert {k: v for k, v in lines[1].items() if k != "_etag"} == {"_id": "2", "v": "text", "x": "none"} and len(lines[1]["_etag"]) == 32
     assert db.sql("DELETE FROM m WHERE v = 'text'").affected == 1 and db.count("m") == 2
 
 
