@@ -165,19 +165,39 @@ def _log_odds(toxic: Counter, clean_: Counter, n1: int, n0: int, least: int = 2)
     return {k: float(np.clip(np.log((toxic[k] + 0.5) / (n1 + 1)) - np.log((clean_[k] + 0.5) / (n0 + 1)), -4, 4)) for k in toxic.keys() | clean_.keys() if toxic[k] + clean_[k] >= least}
 
 
+def _words(texts: list[str]) -> list[list[str]]:
+    """The texts' cleaned words, each distinct word one object, as the driver holds all of them."""
+    known: dict[str, str] = {}
+    one: dict[str, str] = {}
+    out = []
+    for text in texts:
+        words = []
+        for t in text.split():
+            w = known.get(t)
+            if w is None:
+                w = clean(t)
+                w = known[t] = one.setdefault(w, w)
+            words.append(w)
+        out.append(words)
+    return out
+
+
 def train(texts: list[str], labels: list[int], seed: int = 1) -> Network | None:
-    """Fit on whole texts; None if there aren't documents of both classes. Log odds of document counts start the vectors."""
+    """Fit on whole texts; None if there aren't documents of both classes, or no words at all. Log odds of document counts start the vectors."""
     y = np.array(labels, dtype=np.float32)
     if not len(y) or y.min() == y.max():
         return None
     rng = np.random.default_rng(seed)
-    docs = [[clean(t) for t in x.split()] for x in texts]
+    docs = _words(texts)
     n1, n0 = int(y.sum()), int((1 - y).sum())
     df: dict[int, Counter] = {0: Counter(), 1: Counter()}
     gf: dict[int, Counter] = {0: Counter(), 1: Counter()}
     every = sorted({w for words in docs for w in words})
+    if not every:
+        return None
     place = {w: i for i, w in enumerate(every)}
-    flat, lens = grams(every)
+    pieces = [grams(every[a:b]) for a, b in slices(len(every), CHUNK)]
+    flat, lens = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in zip(*pieces, strict=True)) if pieces else grams(every)
     begin = np.cumsum(lens) - lens
 
     def ranges(rows: np.ndarray) -> np.ndarray:
@@ -211,18 +231,17 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Network | None:
     s = {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
     # windows of all documents: pad with the place after the last word
-    window_ids, window_doc = [], []
-    for i, ids in enumerate(tokens):
-        for at in starts_of(len(ids)):
-            w = np.full(WINDOW, len(every))
-            part = ids[at : at + WINDOW]
-            w[: len(part)] = part
-            window_ids.append(w)
-            window_doc.append(i)
-    window_ids, window_doc = np.array(window_ids), np.array(window_doc)
+    windows = []
+    for ids in tokens:
+        padded = np.full(starts_of(len(ids))[-1] + WINDOW, len(every), dtype=np.int32)
+        padded[: len(ids)] = ids
+        windows.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE])
+    window_ids, window_doc = np.concatenate(windows), np.repeat(np.arange(len(windows), dtype=np.int32), [len(w) for w in windows])
+    del windows
     first = np.flatnonzero(np.concatenate([[True], np.diff(window_doc) > 0]))
     counts = np.diff(np.append(first, len(window_doc)))
-    first_odds = np.maximum(net.inputs(word_ids, flat, lens)[:, -1], np.array([odds.get(w, 0.0) for w in every], dtype=np.float32))
+    gram_part = np.concatenate([np.zeros(0, dtype=np.float32), *(net.inputs(word_ids[a:b], ranges(np.arange(a, b)), lens[a:b])[:, -1] for a, b in slices(len(every), CHUNK))])
+    first_odds = np.maximum(gram_part, np.array([odds.get(w, 0.0) for w in every], dtype=np.float32))
     guess = np.append(first_odds, -9)[window_ids].max(1)
     batch = min(BATCH, max(16, len(docs) // 16))
     epochs = min(MOST_EPOCHS, max(EPOCHS, -(-UPDATES * batch // len(docs))))
@@ -230,7 +249,9 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Network | None:
         if epoch:
             fast = Scorer(net)
             fast.add(every)
-            guess = fast.logits(np.where(window_ids == len(every), 0, window_ids + 1))
+            some = slices(len(window_ids), CHUNK)
+            guess = np.concatenate([fast.logits(np.where(window_ids[a:b] == len(every), 0, window_ids[a:b] + 1)) for a, b in some])
+            del fast
         picked = []
         for i, (a, n) in enumerate(zip(first, counts, strict=True)):
             top = a + int(np.argmax(guess[a : a + n]))

@@ -122,7 +122,8 @@ def test_a_full_cache_starts_afresh(net):
 def test_training_is_repeatable():
     texts, labels = ["good day to you"] * 5 + ["you scumbag idiots"] * 5, [0] * 5 + [1] * 5
     assert pickle.dumps(op.train(texts, labels).p) == pickle.dumps(op.train(texts, labels).p)
-    assert op.train(texts[:5], labels[:5]) is None and op.train([], []) is None
+    assert op.train(texts[:5], labels[:5]) is None and op.train([], []) is None and op.train(["", " "], [0, 1]) is None
+    assert op.train(["...", "---"], [0, 1]) is not None
 
 
 def test_odd_rows(spark):
