@@ -20,6 +20,8 @@ from .common import is_held_out, slices, table
 FIT_DOCS = 1000
 #: Languages that are learned, those of the most documents, and words of languages, the most frequent.
 FIT_LANGS, FIT_WORDS = 1000, 1_000_000
+#: Documents whose words a worker counts before it hands the counts on.
+COUNTED = 256
 LONGEST = 4
 #: Log penalty of each step to a shorter n-gram.
 BACK_OFF = float(np.log(0.4))
@@ -175,12 +177,12 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1)
-            found: dict[str, Counter] = {}
-            for a, b in slices(len(batch), 64):
+            for a, b in slices(len(batch), COUNTED):
+                found: dict[str, Counter] = {}
                 for own, t in zip(langs[a:b], texts.slice(a, b - a).to_pylist(), strict=True):
                     found.setdefault(own, Counter()).update(LETTERS.findall(t.lower()))
-            flat = [(own, w, n) for own, c in found.items() for w, n in c.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["l", "w", "n"])
+                for own, c in found.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["l", "w", "n"])
 
     total = picked.mapInArrow(words, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
     for r in total.orderBy(F.desc("n"), "l", "w").limit(FIT_WORDS).toLocalIterator():
