@@ -1,7 +1,9 @@
 """Commits, the change log, and what changes keep of the documents."""
 
 import json
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,6 +290,26 @@ def test_right_join_by_elements_pads_documents_once(db):
     assert sorted((tuple(r) for r in got), key=str) == sorted([("AA", "t1"), (None, "t2"), (None, "t3"), (None, "t4"), ("AA", "t5"), ("BB", "t5")], key=str)
 
 
+def test_right_join_by_elements_of_rows_in_another_order_each_time(spark):
+    def another_order(batches):
+        for b in batches:
+            rows = b.to_pylist()
+            random.shuffle(rows)
+            for r in rows:
+                random.shuffle(r["legs"] or [])
+            yield pa.RecordBatch.from_pylist(rows, b.schema)
+
+    legs = [None if i % 10 == 0 else [] if i % 10 == 1 else [i % 7, i % 7, None, i % 50 + 7] for i in range(300)]
+    trips = spark.createDataFrame(list(enumerate(legs)), "id long, legs array<int>").mapInArrow(another_order, "id long, legs array<int>")
+    db = DocumentSession(spark).register("trips", trips).register("codes", spark.createDataFrame([(1,), (2,), (2,), (20,)], "code int"))
+    want = []
+    for i, x in enumerate(legs):
+        want += [(c, i) for c in (1, 2, 2, 20) if c in (x or ())] or [(None, i)]
+    for _ in range(2):
+        got = db.query("SELECT codes.code, trips.id FROM codes RIGHT JOIN trips ON codes.code = trips.legs[*]").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_rules_on_the_wire():
     body = {"required": ["a"], "types": {"a": "integer", "b": "date"}, "checks": [{"field": "a", "op": ">=", "value": 1}, {"field": "b", "op": "!exists"}], "refs": [{"field": "c", "collection": "d", "onDelete": "setnull"}]}
     rules = K.Rules.from_wire(body)
